@@ -44,11 +44,11 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, ranks, x = [], [], ids
         for level in range(bits - 1, -1, -1):
-            one = (x >> x.dtype.type(level) & x.dtype.type(1)).view(np.bool_) if x.dtype.itemsize == 1 else (x & x.dtype.type(1 << level)) != 0
+            one = (x & x.dtype.type(1 << level)) != 0
             packed = np.packbits(one, bitorder="little")
             planes.append(packed)
             ranks.append(_block_ranks(packed))
-            x = np.concatenate((x[~one], x[one]))
+            x = np.concatenate((x.take(np.flatnonzero(~one)), x.take(np.flatnonzero(one))))
         return cls(len(ids), planes, ranks)
 
     def to_bytes(self) -> bytes:
@@ -117,7 +117,8 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(np.bool_)
             up = np.empty_like(x)
-            up[~one], up[one] = x[: self.zeros[k]], x[self.zeros[k] :] | x.dtype.type(1 << self.bits - 1 - k)
+            up[np.flatnonzero(~one)] = x[: self.zeros[k]]
+            up[np.flatnonzero(one)] = x[self.zeros[k] :] | x.dtype.type(1 << self.bits - 1 - k)
             x = up
         return x
 
