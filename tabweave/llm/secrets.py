@@ -42,7 +42,7 @@ _MAYBE = re.compile(r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]|AKIA|[A-Za-z0-9+/=]{20}")
 def default_samples(docs: DataFrame, documents: int = 2_000, strings: int = 4_000, seed: int = 11) -> DataFrame:
     """(value, label): the distinct words of about ``documents`` whole texts, taken by the hash of their id, are ordinary; ``strings`` strings of 20 to 64 characters are random."""
     total = docs.count()
-    most = int(min(1.0, documents / max(total, 1)) * (2**64 - 1)) - 2**63
+    most = min(2**63 - 1, (documents * 2**64) // max(total, 1) - 2**63)
     some = docs.where(F.xxhash64("doc_id") <= most).select(F.explode(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+")).alias("value"))
     ordinary = some.where(F.length("value") >= 4).distinct().withColumn("label", F.lit(0))
     return ordinary.unionByName(random_samples(docs.sparkSession, strings, seed))
