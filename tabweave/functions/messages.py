@@ -47,7 +47,7 @@ def decode_stream(records: DataFrame) -> DataFrame:
     text = lambda n: field(n).cast("string")
     raw = F.from_json(text("headers"), "map<string,string>")
     nanos = text("timestamp").try_cast("long")
-    time = F.when(nanos != 0, F.timestamp_micros(F.floor(nanos / 1000).cast("long"))).otherwise(F.timestamp_millis(stream_id_ms(F.col("id"))))
+    time = F.when(nanos != 0, F.timestamp_micros(F.call_function("div", nanos, F.lit(1000)))).otherwise(F.timestamp_millis(stream_id_ms(F.col("id"))))
     missing = [F.when(field(n).isNull(), F.lit(f"field {n} is missing")) for n in ("v", "key", "body", "headers", "timestamp")]
     bad_headers = (~text("headers").isin("", "null")) & raw.isNull()
     error = F.coalesce(missing[0], F.when(text("v") != CODEC_VERSION, F.concat(F.lit("unsupported version "), text("v"))), *missing[1:], F.when(bad_headers, "headers cannot be read"), F.when(nanos.isNull(), "timestamp cannot be read"))

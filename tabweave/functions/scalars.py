@@ -40,7 +40,7 @@ def cache_seconds(cache_control: Column) -> Column:
     """The first positive max-age of a Cache-Control value, at most a day; an hour without one."""
     parts = F.transform(F.split(cache_control, ","), lambda p: F.regexp_extract(F.trim(p), r'^(?i:max-age)="*([0-9]{1,18})"*$', 1).try_cast("long"))
     found = F.get(F.filter(parts, lambda s: s > 0), F.lit(0))
-    return F.coalesce(F.least(found, F.lit(MOST_CACHE_S)), F.lit(DEFAULT_CACHE_S)).cast("long")
+    return F.least(F.coalesce(found, F.lit(DEFAULT_CACHE_S)), F.lit(MOST_CACHE_S)).cast("long")
 
 
 def base_url(url: Column) -> Column:

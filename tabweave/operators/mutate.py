@@ -115,7 +115,7 @@ class Snapshots:
         self.fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _current(self) -> str | None:
-        at = self._fs_path(f"{self.path}/_current")
+        at = self._fs_path(f"{self.path}/POINTER")
         return self.spark.read.text(str(at.toString())).first()[0] if self.fs.exists(at) else None
 
     def read(self) -> DataFrame:
@@ -130,7 +130,7 @@ class Snapshots:
         self._point_to(name)
 
     def _point_to(self, name: str) -> None:
-        temporary, target = self._fs_path(f"{self.path}/.next-{name}"), self._fs_path(f"{self.path}/_current")
+        temporary, target = self._fs_path(f"{self.path}/NEXT-{name}"), self._fs_path(f"{self.path}/POINTER")
         out = self.fs.create(temporary, True)
         out.writeBytes(name)
         out.close()
