@@ -1,6 +1,6 @@
 """Quality rules: a learned decision list over document statistics.
 
-Sequential covering on a bounded sample of labelled rows: a rule against the text (a conjunction of thresholds) is
+Sequential covering on labelled rows, of which about ``sample_rows`` at most reach the driver: a rule against the text (a conjunction of thresholds) is
 grown by information gain on two thirds of the rows, pruned from its end on the others, and taken if it stays precise
 there; the rows it covers leave, and the next rule is grown. The list becomes one ordered conditional expression over
 statistic columns, so that applying it is plain column work behind the pass that counts.
@@ -100,9 +100,11 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def fit_rules(counts: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **options) -> list[list[Condition]]:
-    """Learn from at most ``sample_rows`` labelled rows outside fold 2, taken by the hash of their id."""
+    """Learn from the labelled rows outside fold 2, or from about ``sample_rows`` of them by the hash of their id if there are more."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    rows = counts.join(usable, "doc_id").withColumns(ratio_columns()).select(*STATISTICS, "quality", fold(F.col("doc_id")).alias("fold"), F.xxhash64("doc_id").alias("order")).orderBy("order").limit(sample_rows).toPandas()
+    most = min(2**63 - 1, (sample_rows * 2**64) // max(usable.count(), 1) - 2**63)
+    rows = counts.join(usable.where(F.xxhash64("doc_id") <= most), "doc_id").withColumns(ratio_columns()).select("doc_id", *STATISTICS, "quality", fold(F.col("doc_id")).alias("fold")).toPandas()
+    rows = rows.sort_values(["doc_id", "n_words"], kind="stable")
     good = rows["quality"].to_numpy() == 1
     if good.all() or not good.any():
         return []
