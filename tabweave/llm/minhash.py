@@ -8,11 +8,13 @@ document, so two registers agree with a probability equal to the weighted Jaccar
 points as soon as none can beat its largest register.
 
 Documents of equal words are collapsed first. ``BANDS`` bands of ``ROWS`` registers make buckets (a pair of similarity
-0.8 misses all of them once in 150,000 times). Inside a bucket, each document is compared with the bucket's smallest;
-buckets that still hold more than one class go on with the next smallest ones, four times as many each round, against
-all members of other classes, until no pair of different classes is left: no cap, and no list of all pairs of a
-group. A comparison adds up the smaller counts of exact shingle multisets. Verified links are followed to classes by
-smallest doc_id, in tables of the shared folder.
+0.8 misses all of them once in 150,000 times). First, each document is compared with the smallest of each of its
+buckets. Buckets that then still hold more than one class are compared inside tasks: members are dealt to blocks of
+about ``BLOCK``, each pair of blocks is one group of bounded size, and every pair of members of different classes
+whose signatures do not rule out the similarity (by five standard deviations) is verified there, in the first bucket
+that the two share, until their classes are joined; only links leave the task. So there is no cap, and no list of all
+pairs of a group. Verifying adds up the smaller counts of exact shingle multisets. Verified links are followed to
+classes by smallest doc_id, in tables of the shared folder.
 
 Cases: null and empty texts have no words and are copies of one another; rows that share a doc_id are one document
 that has the links of all of them; a row without doc_id is not compared and is of no class; an empty table gives an
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.shared import release, small_batches, store
@@ -33,6 +35,7 @@ from tabweave.llm.textarrays import Spans, Texts, inside, mix, numbers, windows
 
 SHINGLE, BANDS, ROWS = 5, 30, 5
 REGISTERS = BANDS * ROWS
+BLOCK = 1024
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _SEED = numbers(8, 77)
@@ -102,20 +105,22 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """(doc_id, print, bands): a 128-bit fingerprint of the words, and the band keys (none without words)."""
+    """(doc_id, print, bands, short): a 128-bit fingerprint of the words, the band keys (none without words), and a byte of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, texts in Texts.of(batch.column(1)).parts():
                 words = texts.words()
-                keys = band_keys(signatures(len(texts), *shingles(words))).view(np.int64)
+                signature = signatures(len(texts), *shingles(words))
+                keys = band_keys(signature).view(np.int64)
+                short = (mix(signature.view(_U)) & _U(0xFF)).astype(np.uint8)
                 some = words.counts > 0
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * BANDS))), pa.int32()), pa.array(keys[some].ravel()))
                 data = texts.data.tobytes()
                 prints = [hashlib.sha256(b" ".join(data[a:b].split())).digest()[:16] for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(prints, pa.binary()), bands], ["doc_id", "print", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(prints, pa.binary()), bands, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "print", "bands", "short"])
 
-    return rows.mapInArrow(run, "doc_id long, print binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, print binary, bands array<long>, short binary")
 
 
 def _multisets(rows: DataFrame) -> DataFrame:
@@ -157,6 +162,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("hub", "node", "keys", "counts", "k1", "c1").mapInArrow(run, "hub long, node long").distinct()
 
 
+def _group_links(group: list[tuple], least: float) -> list[tuple[int, int]]:
+    """Links between members (band, block, one_block, node, label, short, bands, keys, counts) of different classes."""
+    if len({m[4] for m in group}) < 2:
+        return []
+    band, one_block = group[0][0], group[0][2]
+    block, label = np.array([m[1] for m in group]), np.unique(np.array([m[4] for m in group]), return_inverse=True)[1]
+    short, bands = np.frombuffer(b"".join(m[5] for m in group), np.uint8).reshape(len(group), -1), np.array([m[6] for m in group], np.int64)
+    need = REGISTERS * (least - 5 * (least * (1 - least) / REGISTERS) ** 0.5)
+    firsts, seconds, agreed = [], [], []
+    for a in range(0, len(group), 32):
+        same = (short[a : a + 32, None, :] == short[None, a:, :]).sum(2)
+        i, j = np.nonzero(same >= need)
+        n, i, j = same[i, j], i + a, j + a
+        go = (i < j) & (label[i] != label[j]) & (one_block | (block[i] != block[j]))
+        go[go] = ~(bands[i[go], :band] == bands[j[go], :band]).any(1)
+        firsts.append(i[go]), seconds.append(j[go]), agreed.append(n[go])
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    order = np.argsort(-np.concatenate(agreed), kind="stable")
+    parent, sets, links = list(range(int(label.max()) + 1)), {}, []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        ra, rb = root(int(label[a])), root(int(label[b]))
+        if ra == rb:
+            continue
+        for x in (a, b):
+            if x not in sets:
+                sets[x] = np.frombuffer(group[x][7], _U), np.frombuffer(group[x][8], np.uint32)
+        if similarity(*sets[a], *sets[b]) >= least:
+            parent[max(ra, rb)] = min(ra, rb)
+            links.append((group[a][3], group[b][3]))
+    return links
+
+
+def _open_links(rest: DataFrame, copies: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(hub, node) links inside buckets ``rest`` (band, bucket, node, label, size) between members of different classes."""
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "block", "node", "label")
+    full = dealt.join(copies.select("node", "short", "bands").join(sets, "node"), "node")
+    keys = ["bucket", "low", "high"]
+    rows = full.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "band", "block", (F.col("low") == F.col("high")).alias("one"), "node", "label", "short", "bands", "keys", "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def links():
+            found = _group_links(group, least) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["hub", "node"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for row in zip(*columns, strict=True):
+                if row[:3] != key:
+                    if group:
+                        yield links()
+                    key, group = row[:3], []
+                group.append(row[3:])
+        if group:
+            yield links()
+
+    return rows.mapInArrow(run, "hub long, node long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (hub, node) is linked to, over any number of links.
 
@@ -180,8 +254,8 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = store(_signed(rows), "signed")
     known = signed.where(F.col("doc_id").isNotNull())
-    copies = store(known.groupBy("print").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "copies")
-    in_band = copies.select("node", F.explode("bands").alias("bucket")).distinct()
+    copies = store(known.groupBy("print").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("short").alias("short")), "copies")
+    in_band = copies.select("node", F.posexplode("bands").alias("band", "bucket"))
     full = in_band.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub < last")
     members = store(in_band.join(full.select("bucket", "hub", "size"), "bucket"), "members")
     release(spark)
@@ -191,21 +265,10 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     # copies are links already; a doc_id with several texts is a link between their classes
     same = known.join(copies.select("print", "node"), "print").where("doc_id <> node").select(F.col("node").alias("hub"), F.col("doc_id").alias("node")).distinct()
     pairs = store(members.where("node <> hub").select("hub", "node").distinct(), "pairs")
-    tested, edges, used = pairs, store(_verified(pairs, sets, least), "links"), 1
-    while True:
-        labels = components(edges)
-        placed = members.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
-        open_ = placed.groupBy("bucket", "size").agg(F.min("label").alias("a"), F.max("label").alias("b")).where((F.col("a") < F.col("b")) & (F.col("size") > used))
-        if (open_ := store(open_.select("bucket"), "open")).isEmpty():
-            break
-        rest = store(placed.join(open_, "bucket"), "rest")
-        upto = 4 * used + 1
-        first = rest.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("nth") <= upto).where(F.col("nth") > used)
-        hubs = first.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = rest.join(hubs, "bucket").where("hub < node and hub_label <> label").select("hub", "node").distinct()
-        pairs = store(pairs.join(tested, ["hub", "node"], "left_anti"), "pairs")
-        edges = store(edges.unionByName(_verified(pairs, sets, least)), "links")
-        tested, used = tested.unionByName(pairs), upto
+    edges = store(_verified(pairs, sets, least), "links")
+    placed = members.join(components(edges), "node", "left").select("band", "bucket", "node", "size", F.coalesce("label", "node").alias("label"))
+    several = placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
+    edges = edges.unionByName(store(_open_links(store(placed.join(several, "bucket"), "open"), copies, sets, least), "links"))
     labels = store(components(edges.unionByName(same)), "labels")
     out = rows_of(signed).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), (F.col("doc_id").isNull() | (F.coalesce("label", "doc_id") == F.col("doc_id"))).alias("kept"))
