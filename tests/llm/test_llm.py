@@ -261,7 +261,7 @@ def test_signatures_are_unbiased():
 
 
 def test_secrets(spark, docs, empty):
-    key = "".join(random.Random(2).choice(secrets.ALPHABET[:62]) for _ in range(40))
+    key = "".join(random.Random(2).choices(secrets.ALPHABET[:62], k=40))
     cases = {
         1: "password=abcdef and token: '12345' API_KEY = \"x/y+z.=-9\"", 2: "AKIA" + "A" * 16 + " AKIA" + "B" * 15, 3: "é" + "0123456789abcdef" * 2 + "g", 4: f"see {key} now", 5: None, 6: "", 7: "the quick brown fox wordwordwordwordwordwordword",
         8: "secret=secret=abcdef", 9: 'token = "' + "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" + '"',
