@@ -3,8 +3,8 @@
 A vocabulary whose pre-tokenizer never joins characters across white space gives the same ids for a text as for its
 white-space separated words one after another. ``Encoder`` checks that the file is of this kind (it replaces white
 space, splits by a pattern that excludes white space, and has no tokens that take white space along) and keeps ids of
-words in a bounded cache. Texts with characters that the word rule does not cover (white space beyond ASCII is
-covered by a second split) go to the library whole."""
+words in a bounded cache. Words beyond U+024F and texts with other white space than ASCII's go to the library
+as they are."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ import functools
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -19,6 +20,9 @@ import numpy as np
 _LETTERS = "a-zªµºß-öø-ɏ"
 _NUMBERS = "0-9²³¹¼-¾"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_PIECES_OR_END = re.compile(_PIECES.pattern + "|\n")
+#: Characters that Python's split or the file's pattern may take for white space, beyond ASCII's six.
+_OTHER_WHITE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
 _PLAIN = re.compile(r"[\x00-ɏ]*\Z")
 _EXPECTED = {
     "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -41,14 +45,14 @@ class Encoder:
 
         spec = json.load(open(path, encoding="utf-8"))
         self.whole = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() < 1 << 16 else "<u4")
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = (
             (spec.get("normalizer") or {}).get("normalizers") == _EXPECTED["normalizer"] and pre[0].get("pattern", {}).get("Regex") == _EXPECTED["split"]
             and len(pre) == 2 and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]) and spec.get("post_processor") is None
         )
-        self.pieces: dict[str, bytes] = {}
+        self._forget_pieces()
         self.words: dict[str, bytes] = {}
         self.most_words, self.most_pieces = most_words, most_pieces
         if self.by_word:  # the same model and byte step for pieces that are already normalised and split
@@ -61,31 +65,45 @@ class Encoder:
         return [self._bytes(e.ids) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN.match(w) and "<|" not in w]
-        odd = sorted(set(words) - set(plain))
-        self.words.update(zip(odd, self._whole(odd), strict=True))
-        split = [_PIECES.findall(w.lower()) for w in plain]
-        new = sorted({p for pieces in split for p in pieces} - self.pieces.keys())
+        """Ids of new words: all are lower-cased and split as one string, whose line feeds tell them apart."""
+        joined = "\n".join(words)
+        if not _PLAIN.match(joined) or "<|" in joined:
+            plain = [w for w in words if _PLAIN.match(w) and "<|" not in w]
+            odd = sorted(set(words).difference(plain))
+            self.words.update(zip(odd, self._whole(odd), strict=True))
+            words, joined = plain, "\n".join(plain)
+        if not words:
+            return
+        pieces = _PIECES_OR_END.findall(joined.lower())
+        new = sorted(set(pieces).difference(self.pieces))
         self.pieces.update(zip(new, (self._bytes(e.ids) for e in self.piece.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, p))) for w, p in zip(plain, split, strict=True))
+        flat = b"".join(map(self.pieces.__getitem__, pieces))
+        wide = self.dtype.itemsize
+        ends = (np.flatnonzero(np.frombuffer(flat, self.dtype) == np.iinfo(self.dtype).max) * wide).tolist() + [len(flat)]
+        starts = [0, *(e + wide for e in ends[:-1])]
+        self.words.update(zip(words, map(flat.__getitem__, map(slice, starts, ends)), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
+        if any(c in t for t in ("\n".join(texts),) for c in _OTHER_WHITE):
+            return [b for t in texts for b in (self._whole([t]) if any(c in t for c in _OTHER_WHITE) else self._by_word([t]))]
+        return self._by_word(texts)
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
         split = [t.split() for t in texts]
         if len(self.words) > self.most_words:
             self.words.clear()
         if len(self.pieces) > self.most_pieces:
-            self.pieces.clear()
-        new = set()
-        for words in split:
-            new.update(words)
-        if new := [w for w in new if w not in self.words]:
+            self._forget_pieces()
+        if new := list(set(chain.from_iterable(split)).difference(self.words)):
             self._learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _forget_pieces(self) -> None:
+        self.pieces = {"\n": np.array([np.iinfo(self.dtype).max], self.dtype).tobytes()}
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
