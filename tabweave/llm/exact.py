@@ -1,6 +1,6 @@
 """Exact deduplication by deterministic block naming; DataFrame functions only.
 
-The normalised text (white space deleted) is cut into blocks of ``block`` code points. Equal blocks get one integer
+The normalised text (white space deleted, UTF-8) is cut into blocks of ``block`` bytes. Equal blocks get one integer
 name: distinct blocks are sorted inside their partitions and numbered. Then neighbouring names are paired and the
 distinct pairs named in the same way, level by level, until each text has one name; texts are equal exactly when they
 have as many blocks and the same last name. No level compares by hash alone: a block travels to the naming with its
@@ -24,7 +24,10 @@ BLOCK = 1024
 
 
 def _blocks(norm, block: int):
-    return F.regexp_extract_all(norm, F.lit("(?s).{1,%d}" % block), F.lit(0))
+    """The bytes of ``norm`` in blocks; the outer transform names them once, so that no block strips the text again."""
+    cut = lambda data: F.transform(F.sequence(F.lit(1), F.length(data), F.lit(block)), lambda at: F.substring(data, at, F.lit(block)))
+    none = F.array().cast("array<binary>")
+    return F.transform(F.array(norm.cast("binary")), lambda data: F.when(F.length(data) > 0, cut(data)).otherwise(none))[0]
 
 
 def _fingerprints(x, seed: int, bits: int):
