@@ -1,8 +1,10 @@
 """The ten operators against plain versions on small tables: nulls, empty texts, ties, repeated rows, clashing columns, empty tables."""
 
 import collections
+import dataclasses
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -10,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tabweave.llm import exact, minhash, mixing, packing, quality, rules, secrets, stats, substrings, tokenfiles, tokens, toxicity
 from tabweave.llm.textarrays import Texts, mix
@@ -325,6 +328,71 @@ def test_isotonic():
     assert np.allclose(quality.isotonic(np.array([0, 3, 0, 4.0]), np.array([4, 4, 0, 4.0])), [0, 0.75, 0.875, 1]) and np.allclose(quality.isotonic(np.array([4, 0.0]), np.array([4, 4.0])), 0.5)
 
 
+def _kneser_ney(texts, toxic, word, least=3, d=0.75):
+    """Evidence of one word, counted plainly with exact keys."""
+    def grams(w):
+        w = b"\0" + w.encode() + b"\0"
+        return [(w[max(0, i - 15) : i], w[i : i + 1]) for i in range(1, len(w))]
+
+    own = [collections.Counter(), collections.Counter()]
+    long = set()
+    for text, y in zip(texts, toxic, strict=True):
+        for w in set(text.split()):
+            own[y].update(grams(w))
+            long |= {(c[-5:] + x) for c, x in grams(w)}
+    seen, kinds = ([collections.Counter(), collections.Counter()] for _ in range(2))
+    for y in (0, 1):
+        for (c, _), n in own[y].items():
+            seen[y][c] += n
+            kinds[y][c] += 1
+    shared, around, level = [None] * 6, [None] * 6, {g for g in long if len(g) == 6}
+    for k in range(5, -1, -1):
+        shared[k] = collections.Counter(g[-(k + 1) :] for g in level)
+        around[k] = collections.defaultdict(lambda: [0, 0])
+        for g, n in shared[k].items():
+            around[k][g[:-1]][0] += n
+            around[k][g[:-1]][1] += 1
+        level = set(shared[k]) | {g for g in long if len(g) == k}
+    mixed = lambda n, s, t, p: max((max(n - d, 0) + d * t * p) / s, 1e-9) if s else p
+    total = 0.0
+    for c, x in grams(word):
+        if seen[1][c] < least:
+            continue
+        p = 1 / 256
+        for k in range(min(len(c), 5) + 1):
+            g = (c + x)[-(k + 1) :]
+            p = mixed(shared[k][g], *around[k].get(g[:-1], (0, 0)), p)
+        ordinary = mixed(own[0][c, x], seen[0][c], kinds[0][c], p)
+        total += math.log(mixed(own[1][c, x], seen[1][c], kinds[1][c], ordinary) / ordinary)
+    return total / (len(word.encode()) + 1) ** 0.5
+
+
+def test_toxicity_many_words(spark):
+    """More distinct 6-byte n-grams than 1 << 17: the evidence is the exact one, whether words are broadcast or joined."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(7, 10)))
+    bad = ["zorgfex", "zorgfing", "quumpt", "zorg"]
+    texts, toxic = [], []
+    for i in range(900):
+        w = [word() for _ in range(60)]
+        if i % 4 == 0:
+            w[rng.randrange(60)] = rng.choice(bad)
+        texts.append(" ".join(w))
+        toxic.append(int(i % 4 == 0))
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    learn = {i for i in range(900) if zlib.crc32(str(i).encode()) % 4 in (0, 1)}
+    lt, ly = [texts[i] for i in sorted(learn)], [toxic[i] for i in sorted(learn)]
+    assert len({(" " + w + " ")[i : i + 6] for t in lt for w in t.split() for i in range(len(w) - 3)}) > 1 << 17
+    one = spark.createDataFrame([(i, w) for i, w in enumerate(bad + texts[1].split()[:6])], "doc_id long, text string")
+    pooled = data.unionByName(one.withColumn("doc_id", F.col("doc_id") + 5000))
+    model = toxicity.fit_toxicity(pooled, labels)
+    for most in (1 << 20, 1000):
+        found = {r["text"]: r["__e"] for r in toxicity.with_evidence(one, dataclasses.replace(model, most=most)).collect()}
+        for w, e in found.items():
+            assert abs(e - _kneser_ney(lt, ly, w)) < 1e-6, (most, w)
+
+
 def test_toxicity(labelled, docs, empty):
     data, labels = labelled
     assert _accuracy(toxicity.score_toxicity(data, labels), labels, "predicted", "toxic") > 0.93
