@@ -2,10 +2,12 @@
 
 Tiers are the powers of two up to ``longest``. A document (its ids, then the end id) fills as many whole windows of
 the longest tier as it can; what is left is routed to the smallest tier that holds it. Within each Arrow batch of
-documents (bounded rows and bytes, no shuffle) a tier's windows start with one document each, longest tier first, and
-their gaps are filled from the shorter tiers, cut where a gap ends; what the gaps did not take is laid end to end and
-cut into windows of exact powers of two, so only a gap that nothing is left to fill is padding. Sequences of a tier
-are dealt to step groups in order of their filled length, back and forth, which levels the groups.
+documents (bounded rows and bytes, no shuffle) every tier, longest first, opens windows of its size with one of its own
+documents each, and their gaps are filled from the shorter tiers, then, if these are used up, from documents of the tier
+itself, cut where a gap ends. Gaps of the longest tier that nothing was left to fill, under ``longest`` ids together,
+stay open for the next batch of the partition and are padding at its end only; the last ids of a shorter tier are cut
+into windows of exact powers of two. Sequences of a tier are dealt to step groups in order of the length filled in
+their batch, back and forth, which levels the groups.
 
 Cases: a null or empty text is the end id alone; rows that repeat a doc_id are packed one by one; a null doc_id stays
 null; an empty table gives no pieces. ``sequence_id`` holds the partition in its high bits and is unique. Packing is
@@ -40,8 +42,9 @@ def _overlay(gap_sizes: np.ndarray, piece_sizes: np.ndarray) -> tuple[np.ndarray
     return gap, piece, ends - starts, starts - (gap_end - gap_sizes)[gap], starts - (piece_end - piece_sizes)[piece]
 
 
-def pack(lengths: np.ndarray, longest: int = LONGEST) -> dict[str, np.ndarray]:
-    """Pieces (doc, start, length, sequence, offset, tier) of documents of positive ``lengths``; each tier's windows are full but for gaps that nothing was left to fill."""
+def pack(lengths: np.ndarray, longest: int = LONGEST, gaps: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Pieces (doc, start, length, sequence, offset, tier) of documents of positive ``lengths``. ``gaps`` are the open ends of
+    windows from before; their pieces have sequences -1, -2, ... The gaps open afterwards are open_sequence and open_size."""
     out: list[tuple[np.ndarray, ...]] = []
     full = lengths // longest
     doc = np.repeat(np.arange(len(lengths)), full)
@@ -49,30 +52,51 @@ def pack(lengths: np.ndarray, longest: int = LONGEST) -> dict[str, np.ndarray]:
     n_seq = len(doc)
     out.append((doc, nth * longest, np.full(n_seq, longest), np.arange(n_seq), np.zeros(n_seq, np.int64), np.full(n_seq, longest)))
     rest, at = lengths - full * longest, full * longest
-    todo = np.flatnonzero(rest)
-    route = np.where(rest > 0, 1 << np.ceil(np.log2(np.maximum(rest, 1))).astype(np.int64), 0)
-    # the longest tier: one document opens each window, shorter tiers' documents fill the gaps, longest first
-    head = todo[route[todo] == longest]
-    tail = todo[route[todo] < longest]
-    tail = tail[np.lexsort((tail, -rest[tail]))]
-    seq = n_seq + np.arange(len(head))
-    n_seq += len(head)
-    out.append((head, at[head], rest[head], seq, np.zeros(len(head), np.int64), np.full(len(head), longest)))
-    gap, piece, size, in_gap, in_piece = _overlay(longest - rest[head], rest[tail])
-    out.append((tail[piece], at[tail[piece]] + in_piece, size, seq[gap], rest[head[gap]] + in_gap, np.full(len(gap), longest)))
-    # what is left of the shorter tiers: windows of exact powers of two
-    used = np.bincount(piece, size, len(tail)).astype(np.int64)
-    left, first = rest[tail] - used, at[tail] + used
-    total = int(left.sum())
-    sizes = np.array([longest] * (total // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if (total % longest) >> b & 1], np.int64)
-    gap, piece, size, in_gap, in_piece = _overlay(sizes, left)
-    out.append((tail[piece], first[piece] + in_piece, size, n_seq + gap, in_gap, sizes[gap]))
-    return dict(zip(("doc", "start", "length", "sequence", "offset", "tier"), map(np.concatenate, zip(*out, strict=True)), strict=True))
+
+    def fill(order: np.ndarray, seq: np.ndarray, size: np.ndarray, tier: np.ndarray) -> np.ndarray:
+        """Lay the rests in ``order`` into the last ``size`` ids of windows; what stays open of each."""
+        gap, piece, n, in_gap, in_piece = _overlay(size, rest[order])
+        d = order[piece]
+        out.append((d, at[d] + in_piece, n, seq[gap], (tier - size)[gap] + in_gap, tier[gap]))
+        used = np.bincount(d, n, len(rest)).astype(np.int64)
+        at[:], rest[:] = at + used, rest - used
+        return size - np.bincount(gap, n, len(size)).astype(np.int64)
+
+    def ordered(low: int, high: int) -> np.ndarray:
+        """Documents with a rest over ``low``, up to ``high``, longest first."""
+        own = np.flatnonzero((rest > low) & (rest <= high))
+        return own[np.lexsort((own, -rest[own]))]
+
+    open_seq = -1 - np.arange(0 if gaps is None else len(gaps))
+    open_size = np.zeros(0, np.int64) if gaps is None else gaps
+    open_size = fill(np.concatenate((ordered(0, longest // 2), ordered(longest // 2, longest))), open_seq, open_size, np.full(len(open_size), longest))
+    tier = longest
+    while tier and rest.any():
+        head, short, total = ordered(tier // 2, tier), ordered(0, tier // 2), int(rest.sum())
+        enough = rest[short].sum() >= len(head) * tier - rest[head].sum()
+        # too little for all gaps: only as many windows as the ids fill; further documents of the tier go into the gaps
+        n = len(head) if enough else -(-total // tier) if tier == longest else total // tier
+        first, order, seq = head[:n], np.concatenate((short, head[n:])), n_seq + np.arange(n)
+        n_seq += n
+        size = tier - rest[first]
+        out.append((first, at[first], rest[first], seq, np.zeros(n, np.int64), np.full(n, tier)))
+        at[first], rest[first] = at[first] + rest[first], 0
+        left = fill(order, seq, size, np.full(n, tier))
+        if tier == longest:
+            open_seq, open_size = np.concatenate((open_seq, seq)), np.concatenate((open_size, left))
+        if not enough and rest.any():
+            total = int(rest.sum())
+            sizes = np.array([1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1], np.int64)
+            fill(order, n_seq + np.arange(len(sizes)), sizes, sizes)
+            n_seq += len(sizes)
+        tier //= 2
+    p = dict(zip(("doc", "start", "length", "sequence", "offset", "tier"), map(np.concatenate, zip(*out, strict=True)), strict=True))
+    return p | {"open_sequence": open_seq[open_size > 0], "open_size": open_size[open_size > 0]}
 
 
 def step_groups(sequence: np.ndarray, length: np.ndarray, tier: np.ndarray, per_step: int) -> np.ndarray:
     """Step group of every piece: a tier's sequences in order of filled length are dealt back and forth over its groups."""
-    n = int(sequence.max()) + 1
+    n = int(sequence.max(initial=-1)) + 1
     filled, of_tier = np.bincount(sequence, length, n), np.zeros(n, np.int64)
     of_tier[sequence] = tier
     group, base = np.zeros(n, np.int64), 0
@@ -94,6 +118,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, base, group_base = encoder(path), TaskContext.get().partitionId() << 36, 0
         end = np.array([end_id], "<u4")
+        # windows of earlier batches with an open gap: id, step group, free ids
+        open_id, open_group, open_size = (np.zeros(0, np.int64) for _ in range(3))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -101,7 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             for i, j in text_parts([t or "" for t in texts]):
                 ids += enc.encode_batch([t or "" for t in texts[i:j]])
             lengths = np.array([len(b) // enc.dtype.itemsize + 1 for b in ids], np.int64)
-            p = pack(lengths, longest)
+            p = pack(lengths, longest, open_size)
             wide = None
             crc, last = np.empty(len(p["doc"]), np.int64), -1
             for k in np.lexsort((p["start"], p["doc"])).tolist():
@@ -110,11 +136,17 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                     wide, last = memoryview(np.concatenate((np.frombuffer(ids[d], enc.dtype), end)).astype("<u4")).cast("B"), d
                 s = int(p["start"][k]) * 4
                 crc[k] = zlib.crc32(wide[s : s + int(p["length"][k]) * 4])
-            groups = step_groups(p["sequence"], p["length"], p["tier"], per_step)
-            columns = (batch.column(0).take(pa.array(p["doc"])), p["start"], p["length"], crc, lengths[p["doc"]], p["sequence"] + base, p["offset"], p["tier"].astype(np.int32), groups + (TaskContext.get().partitionId() << 36) + group_base)
+            seq = p["sequence"]
+            new, part = seq >= 0, TaskContext.get().partitionId() << 36
+            n = int(seq.max(initial=-1)) + 1
+            ids_of, group_of = np.concatenate((base + np.arange(n), open_id[::-1])), np.concatenate((np.zeros(n, np.int64), open_group[::-1]))
+            groups = step_groups(seq[new], p["length"][new], p["tier"][new], per_step)
+            group_of[seq[new]] = part + group_base + groups  # a negative sequence counts from the end
+            columns = (batch.column(0).take(pa.array(p["doc"])), p["start"], p["length"], crc, lengths[p["doc"]], ids_of[seq], p["offset"], p["tier"].astype(np.int32), group_of[seq])
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
-            base += int(p["sequence"].max()) + 1
-            group_base += int(groups.max()) + 1
+            base += n
+            group_base += int(groups.max(initial=-1)) + 1
+            open_id, open_group, open_size = ids_of[p["open_sequence"]], group_of[p["open_sequence"]], p["open_size"]
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

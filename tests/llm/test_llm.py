@@ -159,6 +159,29 @@ def test_pack_lengths():
         assert len(groups) == len(p["sequence"])
 
 
+def test_pack_just_above_half():
+    """Documents of about 1,100 ids only: they fill each other's gaps, and gaps go on to the next batch."""
+    rng, gaps, used, n = np.random.default_rng(1), np.zeros(0, np.int64), 0, 0
+    for _ in range(4):
+        lengths = rng.integers(1025, 1200, 301)
+        p = packing.pack(lengths, gaps=gaps)
+        assert np.bincount(p["doc"], p["length"]).tolist() == lengths.tolist()
+        for q, g in enumerate(gaps):
+            own = p["sequence"] == -1 - q
+            assert p["length"][own].sum() == g and p["offset"][own].min() == 2048 - g
+        gaps, used, n = p["open_size"], used + lengths.sum(), n + p["sequence"].max() + 1
+    assert n == -(-used // 2048) and gaps.sum() == n * 2048 - used
+
+
+def test_pack_tiers():
+    """Each tier's windows are opened by its own documents and filled to the end by shorter ones."""
+    p = packing.pack(np.array([1500] * 3 + [700] * 4 + [300] * 9 + [90] * 60 + [5] * 700))
+    for t in (2048, 1024, 512, 128):
+        first = (p["tier"] == t) & (p["offset"] == 0) & (p["length"] > t // 2)
+        assert first.any()
+        assert all(p["length"][p["sequence"] == q].sum() == t for q in p["sequence"][first])
+
+
 def test_token_files(docs, empty, corpus):
     out = tokenfiles.read_shards(tokenfiles.write_shards(docs, shard_tokens=500, partitions=3)).collect()
     rows = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0))
