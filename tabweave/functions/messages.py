@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tabweave.functions.scalars import base64_url
 
 MESSAGE = "id STRING, key BINARY, body BINARY, headers MAP<STRING,BINARY>, timestamp TIMESTAMP"
-#: Fixed values of the wire format: suffix of a dead-letter topic, its six headers, and the codec's version.
-DEAD_LETTER_SUFFIX = ".dlq"
-DEAD_LETTER_HEADERS = ("kc.dlq.source_topic", "kc.dlq.source_group", "kc.dlq.source_message_id", "kc.dlq.delivery_count", "kc.dlq.error", "kc.dlq.failed_at")
+#: Fixed values of the wire format: suffix of a dead-letter topic, its six headers (under a prefix of the user's), and the codec's version.
+DEAD_LETTER_SUFFIX, DEAD_LETTER_PREFIX = ".dlq", "dlq."
+DEAD_LETTER_HEADERS = ("source_topic", "source_group", "source_message_id", "delivery_count", "error", "failed_at")
 CODEC_VERSION = "1"
 
 
@@ -88,11 +88,12 @@ def attempts_used(fails: Column, most_retries: int) -> Column:
     return F.least(fails, F.lit(most_retries)) + 1
 
 
-def dead_letters(messages: DataFrame, topic: str, group: str, delivery: Column, error: Column, failed_at: Column) -> DataFrame:
+def dead_letters(messages: DataFrame, topic: str, group: str, delivery: Column, error: Column, failed_at: Column, prefix: str = DEAD_LETTER_PREFIX) -> DataFrame:
     """The messages for ``topic``'s dead letters: all as it was, six headers more (an old header of that name gives way)."""
     values = (F.lit(topic), F.lit(group), F.col("id"), delivery.cast("string"), error, F.date_format(failed_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    own = F.create_map(*(x for n, v in zip(DEAD_LETTER_HEADERS, values, strict=True) for x in (F.lit(n), v.cast("binary"))))
-    old = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,binary>")), lambda k, _: ~k.isin(*DEAD_LETTER_HEADERS))
+    names = [prefix + n for n in DEAD_LETTER_HEADERS]
+    own = F.create_map(*(x for n, v in zip(names, values, strict=True) for x in (F.lit(n), v.cast("binary"))))
+    old = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,binary>")), lambda k, _: ~k.isin(*names))
     return messages.withColumn("headers", F.map_concat(old, own)).withColumn("topic", F.lit(topic + DEAD_LETTER_SUFFIX))
 
 
@@ -119,5 +120,3 @@ def stale_consumers(consumers: DataFrame, idle_ms: int = 86_400_000, most: int =
     """Consumers without pending entries that were idle for a day, at most ``most`` a run."""
     return consumers.where((F.col("pending") == 0) & (F.col("idle_ms") >= idle_ms)).orderBy("name").limit(most)
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "Window", "F", "annotations", "base64_url")]

@@ -78,8 +78,8 @@ def first_reports(reports: DataFrame, resolution: str, order: str) -> DataFrame:
     return out.select(resolution, *(F.col(f"s.{c}").alias(c) for c in rest))
 
 
-def statistics(changes: DataFrame, state: DataFrame, op: str) -> DataFrame:
-    """Gauges and counters of a registry in one row: instances, services, puts, deletes, last revision."""
+def statistics(changes: DataFrame, state: DataFrame, op: str, service: str = "service") -> DataFrame:
+    """Gauges and counters of a registry in one row: puts, deletes, last revision; instances and services of the state."""
     counts = changes.agg(F.count_if(F.col(op) == "PUT").alias("puts"), F.count_if(F.col(op) == "DELETE").alias("deletes"), F.coalesce(F.max("revision"), F.lit(0)).alias("revision"))
-    gauges = state.agg(F.count("*").alias("instances"))
-    return counts.join(F.broadcast(gauges))
+    gauges = state.agg(F.count("*").alias("instances"), F.count_distinct(service).alias("services"))
+    return counts.join(F.broadcast(gauges))  # one row and one row

@@ -1,53 +1,94 @@
 """Health of instances as ordered folds: moving average, circuit breaker, token bucket, and the pick of two.
 
-Folds depend on order, so a key's samples are folded in order by ``aggregate`` over a sorted array. Samples of one key
-must fit a task; ``streaming.state`` holds the same folds as keyed state for keys without such a bound."""
+Folds depend on order and are exact. The average and the breaker forget what came long before, so a key with most of
+the rows is folded in its range partitions side by side (``ordered.fold_ordered``). A token bucket keeps counts from its
+first request on: its keys are folded one after another in sorted partitions with one state in memory."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.cluster import ship
+from tabweave.operators.ordered import fold_ordered, ranged, shifts
+
 #: Weight of a new sample, first average (10 ms), failures that eject, and for how long (30 s), in nanoseconds.
 ALPHA, START_NS, THRESHOLD, EJECTION_NS = 0.2, 10_000_000, 3, 30_000_000_000
 
 
-def _sorted(order: Column, *values: Column) -> Column:
-    return F.array_sort(F.collect_list(F.struct(order.alias("o"), *values)))
+class Average:
+    """State: the average. It grows with the one before, so the least and the largest bound every other."""
+
+    def __init__(self, alpha: float, start: int):
+        self.alpha, self.first = alpha, start
+
+    def start(self) -> int:
+        return self.first
+
+    def unknown(self) -> list[int]:
+        return [-(1 << 62), 1 << 62]
+
+    def step(self, state: int, row: tuple) -> int:
+        return int((1 - self.alpha) * state + self.alpha * row[0])
+
+
+class AverageOfEndpoint(Average):
+    """State: (endpoint, average); a new endpoint begins at the start."""
+
+    def start(self) -> tuple:
+        return None, self.first
+
+    def unknown(self) -> list[tuple]:
+        return [(NotImplemented, s) for s in super().unknown()]
+
+    def step(self, state: tuple, row: tuple) -> tuple:
+        same = state[0] is NotImplemented or state[0] == row[0]
+        return row[0], super().step(state[1] if same else self.first, row[1:])
+
+
+class Breaker:
+    """State: (failures, ejected until), None while unknown; a success clears it whatever it was."""
+
+    def __init__(self, threshold: int, ejection_ns: int):
+        self.threshold, self.ejection = threshold, ejection_ns
+
+    def start(self) -> tuple:
+        return 0, 0
+
+    def unknown(self) -> list:
+        return [None, (0, 0)]
+
+    def step(self, state: tuple | None, row: tuple) -> tuple | None:
+        at, ok = row
+        if ok:
+            return 0, 0
+        if state is None:
+            return None
+        failures, until = state
+        if (until > 0 and at >= until) or failures + 1 >= self.threshold:
+            return 0, at + self.ejection
+        return failures + 1, until
 
 
 def ewma(samples: DataFrame, key: list[str], order: str, latency: str, alpha: float = ALPHA, start: int = START_NS) -> DataFrame:
     """(key, ewma): each step gives trunc((1 - alpha) * old + alpha * sample)."""
-    fold = F.aggregate("a", F.lit(start).cast("long"), lambda acc, x: (F.lit(1 - alpha) * acc + F.lit(alpha) * x["v"]).cast("long"))
-    return samples.groupBy(*key).agg(_sorted(F.col(order), F.col(latency).alias("v")).alias("a")).select(*key, fold.alias("ewma"))
+    return fold_ordered(samples, key, order, [latency], Average(alpha, start), [("ewma", "long", pa.int64())], lambda s: (s,))
 
 
 def breaker(reports: DataFrame, key: list[str], order: str, at_ns: str, ok: Column, threshold: int = THRESHOLD, ejection_ns: int = EJECTION_NS) -> DataFrame:
     """(key, failures, ejected_until): a success clears; a failure counts, and at the threshold, or as the probe after an
     ejection has run out, ejects again and clears the count."""
-    start = F.struct(F.lit(0).cast("long").alias("failures"), F.lit(0).cast("long").alias("until"))
-
-    def step(s: Column, x: Column) -> Column:
-        probe = (s["until"] > 0) & (x["t"] >= s["until"])
-        full = probe | (s["failures"] + 1 >= threshold)
-        failures = F.when(x["ok"] | full, F.lit(0)).otherwise(s["failures"] + 1).cast("long")
-        until = F.when(x["ok"], F.lit(0)).when(full, x["t"] + ejection_ns).otherwise(s["until"]).cast("long")
-        return F.struct(failures.alias("failures"), until.alias("until"))
-
-    rows = reports.groupBy(*key).agg(_sorted(F.col(order), F.col(at_ns).alias("t"), ok.alias("ok")).alias("a"))
-    return rows.select(*key, F.aggregate("a", start, step).alias("s")).select(*key, F.col("s.failures").alias("failures"), F.col("s.until").alias("ejected_until"))
+    rows = reports.select(*key, order, F.col(at_ns).alias("__at"), ok.alias("__ok"))
+    return fold_ordered(rows, key, order, ["__at", "__ok"], Breaker(threshold, ejection_ns), [("failures", "long", pa.int64()), ("ejected_until", "long", pa.int64())], lambda s: s)
 
 
 def carry_over(samples: DataFrame, key: list[str], order: str, endpoint: str, latency: str, alpha: float = ALPHA, start: int = START_NS) -> DataFrame:
     """(key, endpoint, ewma): the average goes on while the endpoint stays and starts anew when it changes."""
-    zero = F.struct(F.lit(None).cast("string").alias("e"), F.lit(start).cast("long").alias("v"))
-
-    def step(s: Column, x: Column) -> Column:
-        old = F.when(s["e"].eqNullSafe(x["e"]), s["v"]).otherwise(F.lit(start))
-        return F.struct(x["e"].alias("e"), (F.lit(1 - alpha) * old + F.lit(alpha) * x["v"]).cast("long").alias("v"))
-
-    rows = samples.groupBy(*key).agg(_sorted(F.col(order), F.col(endpoint).cast("string").alias("e"), F.col(latency).alias("v")).alias("a"))
-    return rows.select(*key, F.aggregate("a", zero, step).alias("s")).select(*key, F.col("s.e").alias("endpoint"), F.col("s.v").alias("ewma"))
+    rows = samples.withColumn(endpoint, F.col(endpoint).cast("string"))
+    return fold_ordered(rows, key, order, [endpoint, latency], AverageOfEndpoint(alpha, start), [("endpoint", "string", pa.string()), ("ewma", "long", pa.int64())], lambda s: s)
 
 
 def eligible(ejected_until: Column, half_open: Column, now_ns: Column) -> Column:
@@ -59,35 +100,76 @@ def score(average: Column, inflight: Column) -> Column:
     return average.cast("double") * (inflight + 1)
 
 
+def _draw(request: str, nth: Column, n: Column) -> Column:
+    """A number from 1 to ``n`` by the request and the draw; any engine with MD5 can repeat it."""
+    digest = F.md5(F.concat_ws(":", F.col(request).cast("string"), nth.cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n) + 1
+
+
 def pick_of_two(requests: DataFrame, instances: DataFrame, request: str, service: str, now_ns: Column, draws: int = 8) -> DataFrame:
     """(request, service, id, all_ejected): two different eligible instances by the request's hash, the lower score wins, a tie keeps the first.
 
-    ``instances`` has id, ewma, inflight, ejected_until and half_open per service. If ``draws`` draws do not find two, the
-    first eligible ones by id fill up; if none is eligible, the ejection that ends first and is not being probed is
-    taken. A service's instances are one array of a few hundred small structs, joined to its requests once."""
-    per = instances.withColumn("__ok", eligible(F.col("ejected_until"), F.col("half_open"), now_ns)).groupBy(service).agg(
-        F.array_sort(F.collect_list(F.struct("id", score(F.col("ewma"), F.col("inflight")).alias("score"), F.col("__ok").alias("ok"), "ejected_until", "half_open"))).alias("all")
-    )
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: F.element_at("all", (F.pmod(F.xxhash64(F.col(request), k), F.size("all")) + 1).cast("int")))
-    candidates = F.array_distinct(F.filter(F.concat(drawn, F.col("all")), lambda x: x["ok"]))
-    open_ = F.array_sort(F.transform(F.filter("all", lambda x: ~x["half_open"]), lambda x: F.struct(x["ejected_until"], x["id"])))
-    out = requests.join(per, service).withColumn("__c", candidates)
-    first, second = F.get("__c", F.lit(0)), F.get("__c", F.lit(1))
-    chosen = F.when(F.size("__c") == 0, F.get(open_, F.lit(0))["id"]).when(second.isNotNull() & (second["score"] < first["score"]), second["id"]).otherwise(first["id"])
-    return out.select(request, service, chosen.alias("id"), (F.size("__c") == 0).alias("all_ejected"))
+    ``instances`` has id, ewma, inflight, ejected_until and half_open per service; ``request`` names a request once. If
+    ``draws`` draws do not find two, the first eligible ones by id fill up; if none is eligible, the ejection that ends
+    first and is not being probed is taken. Instances are numbered per service and drawn numbers are joined with
+    them by (service, number), so a request carries its draws and never the service's instances."""
+    placed = ranged(instances.withColumns({"__score": score(F.col("ewma"), F.col("inflight")), "__ok": eligible(F.col("ejected_until"), F.col("half_open"), now_ns)}), [service], ["id"])
+    numbered = placed.join(shifts(placed, [service]), ["__p", service]).select(service, (F.col("__i") + F.col("__shift") + 1).alias("__number"), "id", "__score", "__ok")
+    one = F.struct("id", F.col("__score").alias("score"))
+    per = placed.groupBy(service).agg(F.count("*").alias("__n"), F.min(F.when(F.col("__ok"), one)).alias("__one"), F.min(F.when(~F.col("half_open"), F.struct("ejected_until", "id"))).alias("__soonest"))
+    two = placed.where("__ok").join(per.select(service, F.col("__one.id").alias("__least")), service).where(F.col("id") > F.col("__least")).groupBy(service).agg(F.min(one).alias("__two"))
+    per = per.join(two, service, "left")
+    asked = requests.select(request, service).join(per.select(service, "__n"), service)
+    drawn = asked.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__number", _draw(request, F.col("__nth"), F.col("__n")))
+    found = drawn.join(numbered.where("__ok"), [service, "__number"]).groupBy(request, service).agg(F.array_sort(F.collect_list(F.struct("__nth", "id", F.col("__score").alias("score")))).alias("__found"))
+    # at most ``draws`` in a list: the first, and the first other one
+    first = F.get("__found", F.lit(0))
+    other = F.get(F.filter("__found", lambda x: x["id"] != first["id"]), F.lit(0))
+    found = found.select(request, service, F.struct(first["id"].alias("id"), first["score"].alias("score")).alias("__a"), F.when(other.isNotNull(), F.struct(other["id"].alias("id"), other["score"].alias("score"))).alias("__b"))
+    out = asked.join(found, [request, service], "left").join(per.drop("__n"), service)
+    a = F.coalesce("__a", "__one")
+    b = F.coalesce(F.col("__b"), F.when(F.col("__one.id") != a["id"], F.col("__one")), F.col("__two"))
+    chosen = F.when(a.isNull(), F.col("__soonest.id")).when(b["score"] < a["score"], b["id"]).otherwise(a["id"])
+    return out.select(request, service, chosen.alias("id"), a.isNull().alias("all_ejected"))
 
 
 def token_bucket(requests: DataFrame, key: list[str], order: str, at_s: str, rate: float, burst: int) -> DataFrame:
     """(key, allowed, rejected, tokens): a bucket of ``burst`` tokens per key that fills at ``rate`` a second; an empty one rejects."""
     if rate <= 0 or burst <= 0:
         raise ValueError("rate and burst must be positive")
-    zero = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("double").alias("t"), F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("rejected"))
-
-    def step(s: Column, x: Column) -> Column:
-        gone = F.greatest(x["t"] - F.coalesce(s["t"], x["t"]), F.lit(0.0))
-        level = F.least(F.lit(float(burst)), s["tokens"] + gone * rate)
-        go = level >= 1
-        return F.struct(F.when(go, level - 1).otherwise(level).alias("tokens"), F.greatest(x["t"], F.coalesce(s["t"], x["t"])).alias("t"), (s["allowed"] + go.cast("long")).alias("allowed"), (s["rejected"] + (~go).cast("long")).alias("rejected"))
-
-    rows = requests.groupBy(*key).agg(_sorted(F.col(order), F.col(at_s).cast("double").alias("t")).alias("a"))
-    return rows.select(*key, F.aggregate("a", zero, step).alias("s")).select(*key, F.col("s.allowed").alias("allowed"), F.col("s.rejected").alias("rejected"), F.col("s.tokens").alias("tokens"))
+    ship(requests.sparkSession)
+    rows = requests.select(*key, order, F.col(at_s).cast("double").alias("__at"))
+    kinds, n_key = {n: rows.schema[n].dataType.simpleString() for n in key}, len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, []
+        tokens, last, allowed, rejected = float(burst), None, 0, 0
+
+        def flush():
+            columns = list(zip(*out, strict=True))
+            types = [*schema.types[:n_key], pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*key, "allowed", "rejected", "tokens"])
+
+        for batch in batches:
+            schema = batch.schema
+            for *k, at in zip(*(batch.column(c).to_pylist() for c in (*range(n_key), n_key + 1)), strict=True):
+                if k != now:
+                    if now is not None:
+                        out.append((*now, allowed, rejected, tokens))
+                    now, tokens, last, allowed, rejected = k, float(burst), None, 0, 0
+                last = at if last is None else last
+                tokens = min(float(burst), tokens + max(at - last, 0.0) * rate)
+                last = max(at, last)
+                if tokens >= 1:
+                    tokens, allowed = tokens - 1, allowed + 1
+                else:
+                    rejected += 1
+            if out:
+                yield flush()
+                out = []
+        if now is not None:
+            out.append((*now, allowed, rejected, tokens))
+            yield flush()
+
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, order)
+    return ordered.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in key) + ", allowed long, rejected long, tokens double")

@@ -30,5 +30,6 @@ def outcomes(attempts: DataFrame, namespace: str, key: str, order: str, ok: Colu
 
 
 def record_partition(namespace: Column, key: Column, partitions: int = PARTITIONS) -> Column:
-    """Partition of a record: a hash that any engine can repeat (crc32 of both parts)."""
-    return F.pmod(F.crc32(F.concat_ws("\x1f", namespace, key).cast("binary")), F.lit(partitions))
+    """Partition of a record: a hash that any engine can repeat (the first 32 bits of both parts' MD5)."""
+    digest = F.md5(F.concat_ws("\x1f", namespace, key).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(partitions))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.operators.ordered import ranged, shifts
 from tabweave.plans.errors import InvalidArgument
 
 #: Bit widths of the id layout, and its default epoch (2020-01-01 UTC, milliseconds).
@@ -38,13 +39,21 @@ def sequence_of(id_: Column) -> Column:
 
 def assign(rows: DataFrame, ms: str, worker: str, order: list[str], name: str = "id", epoch: int = EPOCH) -> DataFrame:
     """Number rows of a worker in order of time. A full millisecond spills into the next: row k of the worker gets slot
-    max over rows up to k of (time slot - place) + place, which is the sequential rule in closed form."""
-    w = Window.partitionBy(worker).orderBy(ms, *order)
-    place = F.row_number().over(w) - 1
-    slot = F.max((F.col(ms) - F.lit(epoch)) * PER_MS - F.col("__place")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__place")
-    out = rows.withColumn("__place", place).withColumn("__slot", slot)
+    max over rows up to k of (time slot - place) + place, which is the sequential rule in closed form.
+
+    Rows are range-partitioned by worker and time; places and maxima before a partition come from one row per partition
+    and worker, so a worker with most rows is not one task's. Every window is inside one partition."""
+    time_slot = (F.col(ms) - F.lit(epoch)) * PER_MS - F.col("__i")
+    placed = ranged(rows, [worker], [ms, *order]).withColumn("__ahead", time_slot)
+    per = shifts(placed, [worker], __top=F.max("__ahead"))
+    earlier = Window.partitionBy(worker).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__before", F.max(F.col("__top") - F.col("__shift")).over(earlier)).drop("__top")
+    within = Window.partitionBy("__p", worker).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn("__ahead", F.max("__ahead").over(within)).join(per, ["__p", worker])
+    slot = F.greatest(F.col("__ahead") - F.col("__shift"), F.col("__before")) + F.col("__i") + F.col("__shift")
+    out = out.withColumn("__slot", slot)
     time, sequence = F.floor(F.col("__slot") / PER_MS).cast("long") + F.lit(epoch), F.pmod(F.col("__slot"), F.lit(PER_MS))
-    return out.withColumn(name, pack(time, F.col(worker), sequence, epoch)).drop("__place", "__slot")
+    return out.select(*rows.columns, pack(time, F.col(worker), sequence, epoch).alias(name))
 
 
 def lease_candidate(workers: DataFrame, now: int, stale_ms: int = 15_000) -> DataFrame:
@@ -73,27 +82,23 @@ def init_segment(table: DataFrame, tag: str, start: int = 0, step: int = DEFAULT
     return upsert(table, new, ["biz_tag"], ["step"]).table
 
 
-def allocate(rows: DataFrame, segments: DataFrame, tag: str, order: list[str], name: str = "id", chunk: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+def allocate(rows: DataFrame, segments: DataFrame, tag: str, order: list[str], name: str = "id") -> tuple[DataFrame, DataFrame]:
     """Give each row of ``rows`` the next id of its tag, in ``order``; the numbered rows and the segments after it.
 
-    Ids of a tag are start + 1, start + 2, ...; max_id moves in whole steps. Numbering is in two levels, so that a tag
-    with most of the rows is not one task's: rows are range-partitioned by tag and order and numbered inside
-    partitions, and the numbers before a partition come from counts per (partition, tag). Running out of 63 bits is an
-    error."""
-    placed = rows.repartitionByRange(F.col(tag), *order).sortWithinPartitions(tag, *order).withColumn("__p", F.spark_partition_id())
-    local = Window.partitionBy("__p", tag).orderBy(*order)
-    placed = placed.withColumn("__n", F.row_number().over(local))
-    counts = placed.groupBy("__p", tag).agg(F.count("*").alias("__rows"))
-    before = Window.partitionBy(tag).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    Ids of a tag are start + 1, start + 2, ...; max_id moves in whole steps. A tag without a segment starts at 0 with
+    the default step; a row without a tag gets no id. Rows are range-partitioned by tag and order, numbered once and
+    kept in the checkpoint folder; the numbers before a partition come from counts per (partition, tag), so a tag with
+    most of the rows is not one task's. Running out of 63 bits is an error."""
+    placed = ranged(rows, [tag], order)
     known = segments.select(F.col("biz_tag").alias(tag), F.col("max_id").alias("__start"))
-    value = F.col("__start") + F.col("__before") + F.col("__n")
-    fits = F.col("__start") <= F.lit(MAX_ID) - F.col("__before") - F.col("__n")
-    numbered = placed.join(starts.drop("__rows"), ["__p", tag]).join(known, tag)
-    numbered = numbered.withColumn(name, F.when(fits, value).otherwise(F.raise_error(F.lit("segment ids are used up")).cast("long"))).select(*rows.columns, name)
-    taken = rows.groupBy(F.col(tag).alias("biz_tag")).agg(F.count("*").alias("__taken"))
-    steps = F.ceil(F.coalesce("__taken", F.lit(0)) / F.col("step"))
-    after = segments.join(taken, "biz_tag", "left").select("biz_tag", (F.col("max_id") + steps * F.col("step")).cast("long").alias("max_id"), "step")
+    start, nth = F.coalesce("__start", F.lit(0)), F.col("__shift") + F.col("__i") + 1
+    value = F.when(start <= F.lit(MAX_ID) - nth, start + nth).otherwise(F.raise_error(F.lit("segment ids are used up")).cast("long"))
+    numbered = placed.join(shifts(placed, [tag]), ["__p", tag], "left").join(known, tag, "left")
+    numbered = numbered.select(*rows.columns, F.when(F.col(tag).isNotNull(), value).alias(name))
+    taken = rows.where(F.col(tag).isNotNull()).groupBy(F.col(tag).alias("biz_tag")).agg(F.count("*").alias("__taken"))
+    step, max_id = F.coalesce("step", F.lit(DEFAULT_STEP)), F.coalesce("max_id", F.lit(0))
+    steps = F.ceil(F.coalesce("__taken", F.lit(0)) / step)
+    after = segments.join(taken, "biz_tag", "full_outer").select("biz_tag", (max_id + steps * step).cast("long").alias("max_id"), step.cast("int").alias("step"))
     return numbered, after
 
 
@@ -103,4 +108,5 @@ def retryable(code: Column) -> Column:
 
 
 def duplicate_key(code: Column) -> Column:
+    """Whether a database error code means a key that is there already."""
     return F.coalesce(code.cast("string").isin("1062", "23505"), F.lit(False))

@@ -1,7 +1,7 @@
 """Mutations as pure plans: a table and a change give the new table and the rows it touched.
 
 A predicate touches a row only where it is true, so NULL counts as no. ``Snapshots`` commits a new table as a folder
-of its own and moves a pointer, so readers see one state or the other."""
+of its own and then names it, so readers see one state or the other."""
 
 from __future__ import annotations
 
@@ -107,16 +107,45 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], update_columns
 
 
 class Snapshots:
-    """A table as numbered folders and a pointer; one writer at a time. Works on any file system that Spark writes."""
+    """A table as folders of data and numbered pointer files, of which the newest valid one counts.
+
+    A pointer is created exclusively, so of two writers one gets the number and the other an error, and a reader sees
+    the table before or after, never without a pointer. A pointer that names a transaction counts once the transaction's
+    record exists. Works on any file system with an exclusive create."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _text(self, at) -> str:
+        stream = self.fs.open(at)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _create(self, at, text: str) -> None:
+        out = self.fs.create(at, False)
+        out.writeBytes(text)
+        out.close()
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the pointers, newest first."""
+        if not self.fs.exists(self._at("")):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._at(""))]
+        return sorted((int(n[8:]) for n in names if n.startswith("POINTER-")), reverse=True)
 
     def _current(self) -> str | None:
-        at = self._fs_path(f"{self.path}/POINTER")
-        return self.spark.read.text(str(at.toString())).first()[0] if self.fs.exists(at) else None
+        for n in self._numbers():
+            name, _, record = self._text(self._at(f"POINTER-{n:016d}")).partition(" ")
+            if name and (not record or self.fs.exists(self._jvm.org.apache.hadoop.fs.Path(record))):
+                return name
+        return None
 
     def read(self) -> DataFrame:
         name = self._current()
@@ -124,19 +153,17 @@ class Snapshots:
             raise InvalidArgument(f"{self.path} has no snapshot yet")
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def commit(self, table: DataFrame) -> None:
+    def stage(self, table: DataFrame) -> str:
+        """Write data that no pointer names yet."""
         name = f"v{uuid.uuid4().hex}"
         table.write.parquet(f"{self.path}/{name}")
-        self._point_to(name)
+        return name
 
-    def _point_to(self, name: str) -> None:
-        temporary, target = self._fs_path(f"{self.path}/NEXT-{name}"), self._fs_path(f"{self.path}/POINTER")
-        out = self.fs.create(temporary, True)
-        out.writeBytes(name)
-        out.close()
-        self.fs.delete(target, False)
-        if not self.fs.rename(temporary, target):
-            raise InvalidArgument(f"cannot move the pointer of {self.path}")
+    def point_to(self, name: str, record: str = "") -> None:
+        self._create(self._at(f"POINTER-{next(iter(self._numbers()), 0) + 1:016d}"), f"{name} {record}".strip())
+
+    def commit(self, table: DataFrame) -> None:
+        self.point_to(self.stage(table))
 
 
 class SilentRollback(Exception):
@@ -144,18 +171,21 @@ class SilentRollback(Exception):
 
 
 def transaction(tables: dict[str, Snapshots], handler: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> bool:
-    """Give the handler the tables' states; write what it returns and then move the pointers. Any error leaves all as it was.
+    """Give the handler the tables' states and commit what it returns as one: all tables change or none.
 
-    True if committed; a handler that raises SilentRollback gives False."""
+    Data is staged first; then each table gets a pointer that waits for the transaction's record; creating that one file
+    commits. An error before it leaves every table as it was, and pointers that wait for ever are passed over. True if
+    committed; a handler that raises SilentRollback gives False."""
     try:
         changed = handler({n: s.read() for n, s in tables.items()})
     except SilentRollback:
         return False
-    staged = {}
-    for n, df in changed.items():
-        name = f"v{uuid.uuid4().hex}"
-        df.write.parquet(f"{tables[n].path}/{name}")
-        staged[n] = name
+    if not changed:
+        return True
+    staged = {n: tables[n].stage(df) for n, df in changed.items()}
+    first = tables[min(staged)]
+    record = first._at(f"COMMIT-{uuid.uuid4().hex}")
     for n, name in staged.items():
-        tables[n]._point_to(name)
+        tables[n].point_to(name, record.toString())
+    first._create(record, " ".join(sorted(staged)))
     return True

@@ -130,7 +130,11 @@ class NamedQueries:
                 raise InvalidArgument(f"{name}: give a function that runs the statement and counts rows")
             return affected(sql, flat)
         out = self.spark.sql(sql, args=flat)
-        return None if mode is Mode.EXEC else out.limit(1) if mode is Mode.ONE else out
+        if mode is Mode.EXEC:  # Spark runs commands at once; a query runs here, and its rows are not kept
+            if is_query(sql):
+                out.write.format("noop").mode("overwrite").save()
+            return None
+        return out.limit(1) if mode is Mode.ONE else out
 
     def one(self, name: str, **args: Any):
         rows = self.run(name, **args).collect()

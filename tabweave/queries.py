@@ -66,7 +66,7 @@ for _name, _op in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
 typed("pred_between", "part", lambda q: q.where(p.p_size.between(10, 20)).all(), f"{_P} WHERE p_size BETWEEN 10 AND 20")
 typed("pred_between_reversed", "part", lambda q: q.where(p.p_size.between(20, 10)).all(), f"{_P} WHERE p_size BETWEEN 20 AND 10")
 typed("pred_time_between", "orders", lambda q: q.where(o.o_orderdate.between(_DAY, _END)).all(), f"{_O} WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-01-01'")
-typed("pred_like", "part", lambda q: q.where(p.p_type.like("%e_%")).all(), rf"{_P} WHERE p_type LIKE '%e_%' ESCAPE '\'")
+typed("pred_like", "part", lambda q: q.where(p.p_type.like("%O_O%")).all(), rf"{_P} WHERE p_type LIKE '%O_O%' ESCAPE '\'")
 typed("pred_and_or_not", "customer", lambda q: q.where(Or(And(c.c_acctbal.gt(5000.0), c.c_mktsegment.eq("BUILDING")), Not(c.c_nationkey.lte(20)))).all(), f"{_C} WHERE (c_acctbal > 5000 AND c_mktsegment = 'BUILDING') OR NOT (c_nationkey <= 20)")
 typed("pred_empty_and", "customer", lambda q: q.where(And()).all(), f"{_C} WHERE true")
 typed("pred_empty_or", "customer", lambda q: q.where(Or()).all(), f"{_C} WHERE false")
@@ -111,9 +111,9 @@ typed("delete_by_key", "conversations", lambda q: mutate.delete_by_key(q, (3, 1)
 
 
 @query("""SELECT coalesce(o.s_suppkey, n.k) AS s_suppkey, CASE WHEN o.s_suppkey IS NULL THEN 'added' ELSE o.s_name END AS s_name, CASE WHEN o.s_suppkey IS NULL THEN 1 ELSE o.s_nationkey END AS s_nationkey,
-       CASE WHEN n.k IS NOT NULL THEN 1.5 ELSE o.s_acctbal END AS s_acctbal FROM supplier o FULL JOIN (SELECT p_partkey * 2 AS k FROM part WHERE p_partkey <= 2000) n ON o.s_suppkey = n.k""")
+       CASE WHEN n.k IS NOT NULL THEN 1.5 ELSE o.s_acctbal END AS s_acctbal FROM supplier o FULL JOIN (SELECT p_partkey * 2 AS k FROM part) n ON o.s_suppkey = n.k""")
 def upsert(spark, folder):
-    new = read(spark, folder, "part").where("p_partkey <= 2000").select((F.col("p_partkey") * 2).alias("s_suppkey"), F.lit("added").alias("s_name"), F.lit(1).alias("s_nationkey"), F.lit(1.5).alias("s_acctbal"))
+    new = read(spark, folder, "part").select((F.col("p_partkey") * 2).alias("s_suppkey"), F.lit("added").alias("s_name"), F.lit(1).alias("s_nationkey"), F.lit(1.5).alias("s_acctbal"))
     return mutate.upsert(read(spark, folder, "supplier"), new, ["s_suppkey"], ["s_acctbal"]).table
 
 
@@ -193,7 +193,7 @@ def stream_id_time(spark, folder):
 def msg_dlq_headers(spark, folder):
     m = M.from_log_records(records(spark, folder).where("event_type = 'error'"))
     d = M.dead_letters(m, "events", "g", F.pmod("offset", F.lit(5)) + 1, F.lit("poison"), F.lit(_DAY))
-    h = lambda n: F.element_at("headers", M.DEAD_LETTER_HEADERS[n]).cast("string")
+    h = lambda n: F.element_at("headers", M.DEAD_LETTER_PREFIX + M.DEAD_LETTER_HEADERS[n]).cast("string")
     return d.select(F.col("offset").alias("event_id"), "topic", h(1).alias("source_group"), h(2).alias("source_id"), h(3).alias("delivery_count"), h(4).alias("error"), F.size("headers").cast("long").alias("n_headers"))
 
 
@@ -229,9 +229,9 @@ def stream_key(spark, folder):
     return read(spark, folder, "events").select("event_id", S.stream_key("app", F.concat("props", "event_type")).alias("key"))
 
 
-@query("SELECT event_id AS id, (epoch_ns(ts) // 1000000) AS last_ms FROM events WHERE event_id > 100 AND 1893456000000 - (epoch_ns(ts) // 1000000) >= 60000 ORDER BY event_id::VARCHAR LIMIT 256")
+@query("SELECT event_id AS id, (epoch_ns(ts) // 1000000) AS last_ms FROM events WHERE 1893456000000 - (epoch_ns(ts) // 1000000) >= 60000 ORDER BY event_id::VARCHAR LIMIT 256")
 def reclaim_pending(spark, folder):
-    pending = read(spark, folder, "events").where("event_id > 100").select(F.col("event_id").cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("last_ms"))
+    pending = read(spark, folder, "events").select(F.col("event_id").cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("last_ms"))
     return M.reclaimable(pending, F.lit(1893456000000)).select(F.col("id").cast("long").alias("id"), "last_ms")
 
 
@@ -269,15 +269,17 @@ def snowflake_assign(spark, folder):
 
 
 def _workers(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "customer").where("c_custkey <= 900").select((F.col("c_custkey") - 1).cast("int").alias("worker_id"), (F.col("c_custkey") * 7919 % 100003).alias("updated_at"), (F.col("c_custkey") * 31).alias("last_timestamp"))
+    """The 1,024 workers of the id layout: a worker's customers are those whose key leaves its number, and its times are their latest."""
+    rows = read(spark, folder, "customer").select(F.pmod("c_custkey", F.lit(ids.MOST_WORKERS)).cast("int").alias("worker_id"), (F.col("c_custkey") * 7919 % 100003).alias("updated_at"), (F.col("c_custkey") * 31).alias("last_timestamp"))
+    return rows.groupBy("worker_id").agg(F.max("updated_at").alias("updated_at"), F.max("last_timestamp").alias("last_timestamp"))
 
 
-@query("SELECT (c_custkey - 1)::INTEGER AS worker_id, true AS reclaimed FROM customer WHERE c_custkey <= 900 AND c_custkey * 7919 % 100003 < 50000 - 15000 ORDER BY c_custkey * 7919 % 100003, c_custkey LIMIT 1")
+@query("SELECT worker_id, true AS reclaimed FROM (SELECT (c_custkey % 1024)::INTEGER AS worker_id, max(c_custkey * 7919 % 100003) AS at FROM customer GROUP BY 1) WHERE at < 200000 - 15000 ORDER BY at, worker_id LIMIT 1")
 def worker_lease(spark, folder):
-    return ids.lease_candidate(_workers(spark, folder), 50_000)
+    return ids.lease_candidate(_workers(spark, folder), 200_000)
 
 
-@query("SELECT coalesce(max(c_custkey * 31), 0)::BIGINT AS last_timestamp FROM customer WHERE c_custkey <= 900")
+@query("SELECT coalesce(max(c_custkey * 31), 0)::BIGINT AS last_timestamp FROM customer")
 def coalesce_max(spark, folder):
     return ids.last_timestamp(_workers(spark, folder))
 
@@ -365,7 +367,17 @@ def load_score(spark, folder):
     return read(spark, folder, "events").select("event_id", health.score(F.col("value") * 1000, F.pmod("event_id", F.lit(4))).alias("score"))
 
 
-@query()
+_P2C = """WITH i AS (SELECT s_suppkey % 5 AS service, s_suppkey AS id, (s_suppkey * 1000)::DOUBLE * (s_suppkey % 3 + 1) AS score, s_suppkey % 4 <> 0 AS ok, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS number FROM supplier),
+n AS (SELECT service, count(*) AS n FROM i GROUP BY 1), r AS (SELECT event_id, user_id % 5 AS service, n FROM events JOIN n ON n.service = user_id % 5),
+d AS (SELECT event_id, service, k, ('0x' || substr(md5(event_id || ':' || k), 1, 8))::BIGINT % n + 1 AS number FROM r, range(1, 9) AS t(k)),
+c AS (SELECT event_id, d.service, k, id, score FROM d JOIN i ON i.service = d.service AND i.number = d.number WHERE ok UNION ALL
+      SELECT event_id, r.service, 8 + f.nth, f.id, f.score FROM r JOIN (SELECT service, id, score, row_number() OVER (PARTITION BY service ORDER BY id) AS nth FROM i WHERE ok) f ON f.service = r.service AND f.nth <= 3),
+u AS (SELECT event_id, service, id, any_value(score) AS score, min(k) AS k FROM c GROUP BY event_id, service, id),
+p AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY k) AS nth FROM u)
+SELECT a.event_id, a.service, CASE WHEN b.score < a.score THEN b.id ELSE a.id END AS id, false AS all_ejected FROM p a LEFT JOIN p b ON b.event_id = a.event_id AND b.nth = 2 WHERE a.nth = 1"""
+
+
+@query(_P2C)
 def p2c_pick(spark, folder):
     k = F.col("s_suppkey")
     inst = read(spark, folder, "supplier").select(F.pmod(k, F.lit(5)).alias("service"), k.alias("id"), (k * 1000).alias("ewma"), F.pmod(k, F.lit(3)).alias("inflight"), F.when(F.pmod(k, F.lit(4)) == 0, 10**12).otherwise(0).alias("ejected_until"), F.lit(False).alias("half_open"))
@@ -402,7 +414,7 @@ def idem_valid_key(spark, folder):
     return read(spark, folder, "events").select("event_id", idempotency.valid_key(F.col("event_type"), F.col("props")).alias("ok"))
 
 
-@query()
+@query("SELECT ('0x' || substr(md5(event_type || chr(31) || user_id), 1, 8))::BIGINT % 64 AS partition, count(*) AS n FROM events GROUP BY 1")
 def idem_partition_count(spark, folder):
     return read(spark, folder, "events").select(idempotency.record_partition(F.col("event_type"), F.col("user_id").cast("string")).alias("partition")).groupBy("partition").agg(F.count("*").alias("n"))
 
@@ -434,7 +446,7 @@ def catalog_self_join(spark, folder):
 
 @query("SELECT count(*) AS count FROM events WHERE props LIKE '%\"k\"%' AND event_type <> 'error'")
 def count_like(spark, folder):
-    return catalog(spark, folder).query("events").where(Not(e.event_type.eq("error"))).source.where(F.col("props").like('%"k"%') & (F.col("event_type") != "error")).agg(F.count("*").alias("count"))
+    return catalog(spark, folder).query("events").where(e.props.like('%"k"%'), Not(e.event_type.eq("error"))).count()
 
 
 @query("SELECT c_custkey FROM customer ORDER BY c_custkey DESC LIMIT 1")
@@ -453,10 +465,10 @@ def table_exists(spark, folder):
 
 
 # Scalars
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN NULL WHEN 3 THEN 'other' END AS gender FROM events WHERE event_id % 5 < 4")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN NULL WHEN 3 THEN 'other' ELSE 'female' END AS gender FROM events")
 def gender(spark, folder):
-    raw = F.element_at(F.array(F.lit(" Male "), F.lit("FEMALE"), F.lit("  "), F.lit("x")), F.pmod("event_id", F.lit(5)).cast("int") + 1)
-    return read(spark, folder, "events").where("event_id % 5 < 4").select("event_id", S.gender(raw).alias("gender"))
+    raw = F.element_at(F.array(F.lit(" Male "), F.lit("FEMALE"), F.lit("  "), F.lit("x"), F.lit("female ")), F.pmod("event_id", F.lit(5)).cast("int") + 1)
+    return read(spark, folder, "events").select("event_id", S.gender(raw).alias("gender"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 3600 WHEN 1 THEN 600 WHEN 2 THEN 86400 ELSE 3600 END::BIGINT AS seconds FROM events")

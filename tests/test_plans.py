@@ -131,6 +131,32 @@ def test_snapshots_and_transaction(spark, tmp_path, table):
 
     assert mutate.transaction({"t": s}, silent) is False and s.read().count() == 3
     assert mutate.transaction({"t": s}, lambda ts: {"t": ts["t"].where("id = 1")}) and s.read().count() == 1
+    number = s._numbers()[0]
+    with pytest.raises(Exception):  # a second writer with the same number
+        s._create(s._at(f"POINTER-{number:016d}"), "other")
+    assert s.read().count() == 1
+
+
+def test_transaction_is_all_or_nothing(spark, tmp_path, table, monkeypatch):
+    """A failure between two tables' pointers, and one before the record, leave both tables as they were; the next commit works."""
+    a, b = mutate.Snapshots(spark, f"{tmp_path}/a"), mutate.Snapshots(spark, f"{tmp_path}/b")
+    for s in (a, b):
+        s.commit(table)
+    change = lambda ts: {n: t.where("id = 1") for n, t in ts.items()}
+
+    def fail(*_):
+        raise OSError("lost")
+
+    for victim, name in ((b, "point_to"), (a, "_create")):
+        create = mutate.Snapshots._create
+        with monkeypatch.context() as m:
+            m.setattr(victim, name, fail if name == "point_to" else lambda at, text: fail() if "COMMIT" in at.toString() else create(a, at, text))
+            with pytest.raises(OSError):
+                mutate.transaction({"a": a, "b": b}, change)
+        assert (a.read().count(), b.read().count()) == (3, 3)
+    assert mutate.transaction({"a": a, "b": b}, change) and (a.read().count(), b.read().count()) == (1, 1)
+    b.commit(table)
+    assert (a.read().count(), b.read().count()) == (1, 3)
 
 
 def test_upsert(spark, table):

@@ -1,7 +1,10 @@
-from pyspark.sql import functions as F
+import time
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from tabweave.functions import messages as M
 from tabweave.plans.errors import InvalidArgument
 from tabweave.sources import resources
 from tabweave.streaming import delivery, state
@@ -27,7 +30,74 @@ def test_subscribe_retries_and_dead_letters(spark, tmp_path):
     out = {r["id"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert len(out) == 6 and out["3"]["calls"] == 2 and not out["3"]["ok"] and out["1"]["ok"]
     dead = spark.read.parquet(f"{tmp_path}/dead").collect()
-    assert len(dead) == 1 and dead[0]["topic"] == "orders.dlq" and dead[0]["headers"]["kc.dlq.error"] == b"poison"
+    assert len(dead) == 1 and dead[0]["topic"] == "orders.dlq" and dead[0]["headers"][M.DEAD_LETTER_PREFIX + M.DEAD_LETTER_HEADERS[4]] == b"poison"
+
+
+def test_order_is_numeric(spark):
+    ids_ = ["2:9", "2:10", "10:1", "2:100", "7-2", "7-11"]
+    df = spark.createDataFrame([(i,) for i in ids_], "id string").orderBy(delivery.id_order(F.col("id")))
+    assert [r["id"] for r in df.collect()] == ["2:9", "2:10", "2:100", "7-2", "7-11", "10:1"]
+
+
+def test_start_latest(spark, tmp_path):
+    folder, o = f"{tmp_path}/topic", SubscribeOptions(start_offset="latest", max_retries=0)
+    delivery.publish(_messages(spark, 3), folder)
+    time.sleep(1.1)
+    for n in (0, 2):
+        if n:
+            delivery.publish(_messages(spark, 2).withColumn("id", F.concat(F.lit("9"), "id")), folder)
+        delivery.subscribe(delivery.topic(spark, folder), "t", "late", lambda m: None, f"{tmp_path}/cp", f"{tmp_path}/out", f"{tmp_path}/dead", o, available_now=True).awaitTermination(120)
+        found = spark.read.schema(delivery._HANDLED).parquet(f"{tmp_path}/out").count() if n else 0
+        assert found == n
+
+
+def test_share_group(spark, tmp_path):
+    folder, tally = f"{tmp_path}/topic", f"{tmp_path}/tally"
+    Path(tally).mkdir()
+    delivery.publish(_messages(spark, 6), folder, batch_size=2)
+
+    def handler(message):
+        n = int(message["id"])
+        with open(f"{tally}/{n}", "a") as f:
+            f.write("x")
+        if n == 3 or n == 4 and len(Path(f"{tally}/4").read_text()) < 3:
+            raise ValueError("poison")
+
+    delivery.subscribe_shared(delivery.topic(spark, folder), "orders", "s", handler, f"{tmp_path}/cp", f"{tmp_path}/out", f"{tmp_path}/dead", SubscribeOptions(share_attempts=3), available_now=True).awaitTermination(180)
+    out = {r["id"]: (r["ok"], r["calls"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert out == {"0": (True, 1), "1": (True, 1), "2": (True, 1), "3": (False, 3), "4": (True, 3), "5": (True, 1)}
+    assert [r["id"] for r in spark.read.parquet(f"{tmp_path}/dead").collect()] == ["3"]
+
+
+def test_field_stream(spark, tmp_path):
+    src = f"{tmp_path}/src"
+    good = {"v": b"1", "key": b"k", "headers": b"null", "timestamp": b"0"}
+    spark.createDataFrame([("1-0", {}), ("2-0", good | {"body": b"ok"}), ("3-0", good | {"body": b"bad"})], "id string, fields map<string,binary>").write.parquet(src)
+    stream = spark.readStream.schema("id string, fields map<string,binary>").parquet(src)
+
+    def handler(message):
+        if message["body"] == b"bad":
+            raise ValueError("poison")
+
+    o = SubscribeOptions(backoff_min_ms=1, backoff_max_ms=1, delivery_attempts=2)
+    blocked = Path(tmp_path, "dead")
+    blocked.write_text("a file where the folder should be")
+    start = lambda: delivery.subscribe_fields(stream, "f", "g", handler, f"{tmp_path}/cp", f"{tmp_path}/acks", f"{tmp_path}/dead", o, available_now=True)
+    with pytest.raises(Exception):
+        start().awaitTermination(120)
+    assert not Path(tmp_path, "acks").exists()  # nothing is acknowledged before the dead letters are written
+    calls = []
+
+    def again():
+        calls.append(1)
+        if len(calls) == 2:
+            blocked.unlink()
+        return start()
+
+    assert delivery.keep_running(again, o) == 1
+    assert {r["id"]: r["route"] for r in spark.read.parquet(f"{tmp_path}/acks").collect()} == {"1-0": "dead_letter", "2-0": "ack", "3-0": "dead_letter"}
+    dead = {r["id"]: r for r in spark.read.parquet(f"{tmp_path}/dead").collect()}
+    assert dead.keys() == {"1-0", "3-0"} and dead["1-0"]["body"] == b"null" and dead["3-0"]["headers"][M.DEAD_LETTER_PREFIX + M.DEAD_LETTER_HEADERS[3]] == b"2"
 
 
 def test_options():
