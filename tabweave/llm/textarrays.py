@@ -1,11 +1,12 @@
 """Words, lines and their hashes of whole Arrow string columns, without a Python loop over words.
 
 A column's UTF-8 bytes are one numpy array. Words are runs of bytes outside [\\x20\\x09-\\x0D] that do not cross
-from one text into the next. Hashes are 64-bit sums of byte codes times powers of an odd number, then mixed; byte
-codes come from a fixed generator, so every task on every machine gets the same ones."""
+from one text into the next. Hashes are 64-bit and chained over eight bytes at a time; they have a seed, and hashes of
+two seeds are independent. Every task on every machine gets the same ones."""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,38 +31,30 @@ def numbers(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=_U) + _U(seed) * _U(1 << 32)) * _U(0x9E3779B97F4A7C15))
 
 
-_BYTE = numbers(256, 1)
-_BASE, _CHUNK = _U(0x9E3779B97F4A7C15 | 1), 1 << 19
+_CHUNK_STEP, _LONG_RANGE = _U(0x9E3779B97F4A7C15), 2048
+_KEEP = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], _U)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of data[start:end] of every range: its length and then its bytes, eight at a time, each step mixed.
 
-
-_UP = _powers(_BASE, _CHUNK)
-_DOWN = _powers(_U(pow(int(_BASE), -1, 1 << 64)), _CHUNK)
-
-
-def _range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for ascending ranges that do not overlap; work arrays stay near 4 MB."""
-    out = np.empty(len(starts), _U)
-    i = 0
-    while i < len(starts):
-        at = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, at + _CHUNK, "right")))
-        n = int(ends[j - 1] - at)
-        if n <= _CHUNK:
-            up, down = _UP[:n], _DOWN
-        else:  # one range longer than a chunk
-            up, down = _powers(_BASE, n), _DOWN
-        total = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[data[at : at + n]] * up, out=total[1:])
-        s = starts[i:j] - at
-        out[i:j] = (total[ends[i:j] - at] - total[s]) * down[s]
-        i = j
-    return mix(out + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    Equal lengths up to eight bytes cannot collide, as every step is a bijection; ranges beyond 2,048 bytes, which are
+    few, get the first eight bytes of a keyed BLAKE2b digest."""
+    size = ends - starts
+    out = mix(size.astype(_U) + numbers(1, 1000 + seed))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= _LONG_RANGE))
+    at = 0
+    while len(left):
+        chunk = eight[starts[left] + at] & _KEEP[np.minimum(size[left] - at, 8)]
+        out[left] = mix((out[left] ^ chunk) * _CHUNK_STEP)
+        at += 8
+        left = left[size[left] > at]
+    for k in np.flatnonzero(size > _LONG_RANGE).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=seed.to_bytes(4, "little")).digest(), "little")
+    return out
 
 
 @dataclass
@@ -136,8 +129,8 @@ class Spans:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.of)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return _range_hashes(self.of.data, self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return _range_hashes(self.of.data, self.starts, self.ends, seed)
 
 
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
