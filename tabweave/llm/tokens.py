@@ -3,8 +3,9 @@
 A vocabulary whose pre-tokenizer never joins characters across white space gives the same ids for a text as for its
 white-space separated words one after another. ``Encoder`` checks that the file is of this kind (it replaces white
 space, splits by a pattern that excludes white space, and has no tokens that take white space along) and keeps ids of
-words in a bounded cache. Words beyond U+024F and texts with other white space than ASCII's go to the library
-as they are."""
+words in a bounded cache. Words that leave U+0000 to U+024F, themselves or in lower case, and texts with other white
+space than ASCII's go to the library as they are; for all others a test compares the ids of every character of that
+range, in several places of a word, with the library's."""
 
 from __future__ import annotations
 
@@ -23,7 +24,9 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{
 _PIECES_OR_END = re.compile(_PIECES.pattern + "|\n")
 #: Characters that Python's split or the file's pattern may take for white space, beyond ASCII's six.
 _OTHER_WHITE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
-_PLAIN = re.compile(r"[\x00-ɏ]*\Z")
+#: Letters of that range whose lower case leaves it; words with them go to the library.
+_LEAVING = "".join(c for c in map(chr, range(0x250)) if max(map(ord, c.lower())) > 0x24F)
+_PLAIN = re.compile(rf"[^{_LEAVING}ɐ-\U0010FFFF]*\Z")
 _EXPECTED = {
     "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
     "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
