@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import atexit
 import gc
-import pathlib
 import re
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.cluster import shared_dir, ship
+
 #: White space in every contract of this subpackage: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 #: One word in those contracts, as a Java, Python and SQL pattern.
@@ -21,16 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _made: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else the context's, else a default that is then set."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(known)
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -67,20 +56,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_tabweave_shipped", False):
-        return
-    root = pathlib.Path(__file__).resolve().parents[1]
-    target = pathlib.Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(target))
-    context._tabweave_shipped = True
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Ship the package, and bound the Arrow batches handed to Python by rows and bytes; stricter settings of the session stay."""
     ship(spark)
@@ -94,6 +69,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(table: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``table`` is called so."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4; a row without an id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)), F.lit(0)).cast("int")
