@@ -1,20 +1,27 @@
 """Near-duplicate classes by BagMinHash signatures, banding and verified multiset overlap.
 
 A document is the multiset of its windows of five words (of all its words if it has fewer). Weights are discretised at
-0, 1, 2, 4, 8, ...; every part between two of these that a weight reaches is a Poisson process of its own with the
-part's width as rate, whose points come in order of time, each with a register and a height inside the part, and count
-if the height is under the weight. A register keeps its smallest time. The same shingle gives the same points in every
-document, so two registers agree with a probability equal to the weighted Jaccard similarity. A document stops drawing
-points as soon as none can beat its largest register.
-
-Documents of equal words are collapsed first. ``BANDS`` bands of ``ROWS`` registers make buckets (a pair of similarity
-0.8 misses all of them once in 150,000 times). First, each document is compared with the smallest of each of its
-buckets. Buckets that then still hold more than one class are compared inside tasks: members are dealt to blocks of
-about ``BLOCK``, each pair of blocks is one group of bounded size, and every pair of members of different classes
-whose signatures do not rule out the similarity (by five standard deviations) is verified there, in the first bucket
-that the two share, until their classes are joined; only links leave the task. So there is no cap, and no list of all
-pairs of a group. Verifying adds up the smaller counts of exact shingle multisets. Verified links are followed to
-classes by smallest doc_id, in tables of the shared folder.
+0, 1, 2, 4, 8, ...; every part between two of these that a weight reaches is a Poisson process with the part's width as
+rate. A process over more than one weight splits at its first point into two halves: the half that has the point takes
+it along, the other goes on from that time, and halves above the weight are dropped. A process over one weight gives its
+points, each with a register, which keeps its smallest time. As processes run in order of time, a document leaves
+a process with all its halves as soon as it cannot beat the largest register. The same shingle gives the same points in
+every document, so two registers agree with a probability equal to the weighted Jaccard similarity.
+
+Documents of equal words are collapsed first. ``BANDS`` bands of ``ROWS`` registers make buckets. First, each document
+is compared with the smallest of each of its buckets. Buckets that then still hold more than one class are compared
+inside tasks: the members of a bucket's largest class and its other members are dealt to blocks of about ``BLOCK``, each
+pair of blocks that can hold members of different classes is one group of bounded size, and every pair of different
+classes whose signatures do not rule out the similarity is verified there, in the first bucket that the two share, until
+their classes are joined; only links leave the task. So there is no cap, no list of all pairs of a group, and a large
+class with a few strangers costs a few copies of it. Verifying adds up the smaller counts of shingle multisets (64-bit
+hashes of shingles). Verified links are followed to classes by smallest doc_id, in tables of the shared folder.
+
+A pair of similarity 0.8 shares no band with a probability of 7 in a million, and in an open bucket its signatures rule
+it out (they agree five standard deviations less than 0.8 gives) with 2 in a million; nothing else can lose a link.
+
+Joins by print, bucket and hub know how many rows a key has: keys with more than a thousandth of all rows are fewer than
+a thousand and are broadcast as pairs of numbers, or salted where their side carries multisets.
 
 Cases: null and empty texts have no words and are copies of one another; rows that share a doc_id are one document
 that has the links of all of them; a row without doc_id is not compared and is of no class; an empty table gives an
@@ -30,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.shared import release, small_batches, store
+from tabweave.llm.exact import join_unique
+from tabweave.llm.shared import free_name, release, small_batches, store
 from tabweave.llm.textarrays import Spans, Texts, inside, mix, numbers, windows
 
 SHINGLE, BANDS, ROWS = 5, 30, 5
 REGISTERS = BANDS * ROWS
-BLOCK = 1024
+BLOCK, HOT = 1024, 10_000
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _SEED = numbers(8, 77)
@@ -68,30 +76,42 @@ def signatures(n: int, text: np.ndarray, key: np.ndarray, weight: np.ndarray, re
     """BagMinHash of ``n`` multisets: (n, registers) smallest times, inf where a multiset is empty."""
     out = np.full(n * registers, np.inf)
     parts, low = [], 0
-    while True:  # the processes: one per shingle and part of the weights that it reaches
+    while True:  # one process per shingle and part of the weights that it reaches
         width = max(low, 1)
         reach = np.flatnonzero(weight > low)
         if not len(reach):
             break
-        parts.append((text[reach], mix(key[reach] + _SEED[:1] * _U(low)), weight[reach].astype(np.float64), np.full(len(reach), float(low)), np.full(len(reach), float(width))))
+        size = len(reach)
+        parts.append((text[reach], mix(key[reach] + _SEED[:1] * _U(low)), weight[reach], np.full(size, low), np.full(size, width)))
         low += width
     if not parts:
         return out.reshape(n, registers)
     doc, seed, top, low, width = (np.concatenate(x) for x in zip(*parts, strict=True))
-    time, drawn = np.zeros(len(doc)), 0
+    time, nth, given = np.zeros(len(doc)), np.zeros(len(doc), _U), np.zeros(len(doc), bool)  # given: its next point is at ``time``
+    turn = 0
     while len(doc):
-        step = 1 if drawn < 3 else 16  # more at once for the few that go on
-        nth = (np.arange(drawn, drawn + step, dtype=_U) + _U(1)) * _ODD
-        a = mix(seed[:, None] + nth)
-        times = time[:, None] + np.cumsum(-np.log(_unit(a)), 1) / (registers * width[:, None])
-        b = mix(a ^ _SEED[1])
-        register = (b % _U(registers)).astype(np.int64)
-        height = low[:, None] + (1 - _unit(mix(b ^ _SEED[2]))) * width[:, None]
-        counts = height < top[:, None]
-        np.minimum.at(out, (doc[:, None] * registers + register)[counts], times[counts])
-        time, drawn = times[:, -1], drawn + step
-        go = time < out.reshape(n, registers).max(1)[doc]
-        doc, seed, top, low, width, time = (x[go] for x in (doc, seed, top, low, width, time))
+        turn += 1
+        limit = out.reshape(n, registers).max(1)
+        wide = np.flatnonzero(width > 1)
+        unit = np.flatnonzero(width == 1)
+        # single weights: their points compete for registers; more at once for the few that go on
+        step = 1 if turn <= 3 else 16
+        draw = mix(seed[unit, None] + (nth[unit, None] + np.arange(1, step + 1, dtype=_U)) * _ODD)
+        gaps = -np.log(_unit(draw)) / registers
+        gaps[given[unit], 0] = 0.0
+        times = time[unit, None] + np.cumsum(gaps, 1)
+        np.minimum.at(out, doc[unit, None] * registers + (mix(draw ^ _SEED[1]) % _U(registers)).astype(np.int64), times)
+        # wider ones: the next point lies in one half; the other half goes on from there on its own
+        at = mix(seed[wide] ^ _SEED[3])
+        first = np.where(given[wide], time[wide], time[wide] - np.log(_unit(at)) / (registers * width[wide]))
+        go = first < limit[doc[wide]]
+        wide, at, first = wide[go], at[go], first[go]
+        half, right = width[wide] // 2, (at & _U(1)).astype(bool)
+        halves = [(doc[wide], mix(seed[wide] ^ _SEED[4 + side]), top[wide], low[wide] + side * half, half, first, np.zeros(len(wide), _U), right == bool(side)) for side in (0, 1)]
+        rest = (doc[unit], seed[unit], top[unit], low[unit], width[unit], times[:, -1], nth[unit] + _U(step), np.zeros(len(unit), bool))
+        doc, seed, top, low, width, time, nth, given = (np.concatenate(x) for x in zip(rest, *halves, strict=True))
+        go = (low < top) & (time < out.reshape(n, registers).max(1)[doc])
+        doc, seed, top, low, width, time, nth, given = (x[go] for x in (doc, seed, top, low, width, time, nth, given))
     return out.reshape(n, registers)
 
 
@@ -158,12 +178,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep.append(similarity(np.frombuffer(ka, _U), np.frombuffer(ca, np.uint32), np.frombuffer(kb, _U), np.frombuffer(cb, np.uint32)) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["hub", "node"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets, "node").withColumnsRenamed({"keys": "k1", "counts": "c1"}).join(sets.withColumnRenamed("node", "hub"), "hub")
+    both = pairs.join(sets, "node").withColumnsRenamed({"keys": "k1", "counts": "c1"})
+    per = store(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hubs")
+    limit = max(HOT, (per.agg(F.sum("n")).first()[0] or 0) // 1000)
+    # fewer than a thousand rows; a hot hub's multiset is there once for every ``limit`` of its pairs
+    hot = per.where(F.col("n") > limit).select("hub", F.ceil(F.col("n") / limit).cast("int").alias("copies"))
+    copies = F.coalesce("copies", F.lit(1))
+    both = both.join(F.broadcast(hot), "hub", "left").withColumn("salt", F.pmod(F.xxhash64("node"), copies).cast("int")).drop("copies")
+    hubs = sets.withColumnRenamed("node", "hub").join(per.select("hub"), "hub", "left_semi").join(F.broadcast(hot), "hub", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    both = both.join(hubs, ["hub", "salt"])
     return both.select("hub", "node", "keys", "counts", "k1", "c1").mapInArrow(run, "hub long, node long").distinct()
 
 
 def _group_links(group: list[tuple], least: float) -> list[tuple[int, int]]:
-    """Links between members (band, block, one_block, node, label, short, bands, keys, counts) of different classes."""
+    """Links between members (band, block, one_block, node, label, short, bands, keys, counts) of different classes, in blocks of their own if not ``one_block``."""
     if len({m[4] for m in group}) < 2:
         return []
     band, one_block = group[0][0], group[0][2]
@@ -202,9 +230,19 @@ def _group_links(group: list[tuple], least: float) -> list[tuple[int, int]]:
 
 
 def _open_links(rest: DataFrame, copies: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(hub, node) links inside buckets ``rest`` (band, bucket, node, label, size) between members of different classes."""
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    """(hub, node) links inside stored buckets ``rest`` (band, bucket, node, label, size), each of several classes, between members of different classes."""
+    # a bucket's members: those of its largest class, then the others; in it no pair needs a look
+    by_label = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = by_label.groupBy("bucket").agg(F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    sides = main.select("bucket", "main", "size", blocks(F.col("most")).alias("n_main"), blocks(F.col("size") - F.col("most")).alias("n_rest"))
+    rows = join_unique(rest.drop("size"), store(sides, "sides"), ["bucket"], "size")
+    own = F.col("label") == F.col("main")
+    block = F.pmod(F.xxhash64("node"), F.when(own, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
+    # blocks of the others are numbered from 0, those of the largest class from n_rest on
+    dealt = rows.withColumn("block", F.when(own, block + F.col("n_rest")).otherwise(block))
+    last = F.when(own, F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_main")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "block", "node", "label")
     full = dealt.join(copies.select("node", "short", "bands").join(sets, "node"), "node")
     keys = ["bucket", "low", "high"]
@@ -236,15 +274,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of neighbours' smallest label and one jump to the label's label; every round is a stored table."""
     both = store(edges.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(edges.select(F.col("node").alias("a"), F.col("hub").alias("b"))).distinct(), "edges")
-    labels = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    labels = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("n")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = join_unique(both, labels.withColumnRenamed("node", "b"), ["b"], "n").groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "n", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = store(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        labels = new.select("node", "label")
+        new = store(step.join(jump, "label", "left").select("node", "n", "old", F.least("label", "far").alias("label")), "labels")
+        labels = new.select("node", "label", "n")
         if new.where("old <> label").isEmpty():
-            return labels
+            return labels.drop("n")
 
 
 def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -254,31 +292,28 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = store(_signed(rows), "signed")
     known = signed.where(F.col("doc_id").isNotNull())
-    copies = store(known.groupBy("print").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("short").alias("short")), "copies")
+    copies = store(known.groupBy("print").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("short").alias("short"), F.count("*").alias("n")), "copies")
     in_band = copies.select("node", F.posexplode("bands").alias("band", "bucket"))
-    full = in_band.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub < last")
-    members = store(in_band.join(full.select("bucket", "hub", "size"), "bucket"), "members")
+    full = store(in_band.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub < last"), "buckets")
+    members = store(join_unique(in_band, full.select("bucket", "hub", "size"), ["bucket"], "size"), "members")
     release(spark)
     some = members.select("node").distinct()
     sets = store(_multisets(rows.join(some.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")), "sets")
     release(spark)
     # copies are links already; a doc_id with several texts is a link between their classes
-    same = known.join(copies.select("print", "node"), "print").where("doc_id <> node").select(F.col("node").alias("hub"), F.col("doc_id").alias("node")).distinct()
+    same = join_unique(known.select("doc_id", "print"), copies.select("print", "node", "n"), ["print"], "n").where("doc_id <> node").select(F.col("node").alias("hub"), F.col("doc_id").alias("node")).distinct()
     pairs = store(members.where("node <> hub").select("hub", "node").distinct(), "pairs")
     edges = store(_verified(pairs, sets, least), "links")
     placed = members.join(components(edges), "node", "left").select("band", "bucket", "node", "size", F.coalesce("label", "node").alias("label"))
     several = placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
     edges = edges.unionByName(store(_open_links(store(placed.join(several, "bucket"), "open"), copies, sets, least), "links"))
     labels = store(components(edges.unionByName(same)), "labels")
-    out = rows_of(signed).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = signed.select("doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), (F.col("doc_id").isNull() | (F.coalesce("label", "doc_id") == F.col("doc_id"))).alias("kept"))
 
 
-def rows_of(signed: DataFrame) -> DataFrame:
-    return signed.select("doc_id")
-
-
 def drop_near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each class."""
-    gone = near_classes(docs, least).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = near_classes(docs, least).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
