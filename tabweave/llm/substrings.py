@@ -8,10 +8,13 @@ windows of 13 words share an anchor: 7 words at a cover place of either text. He
    once, and a task sends an anchor at most twice, however many of its texts have it;
 2. anchors of two or more texts go into a bit filter (two bits each, 32 bits of room per anchor, at most ``most_bits``
    in all), which every task gets; a filter that is too full lets more through and loses nothing;
-3. anchors extend: only windows that hold a marked anchor are hashed (128 bits) and sent, once per task with the
-   smallest doc_id there, and Spark finds the smallest document of each window;
+3. anchors extend: only windows that hold a marked anchor are hashed and sent, once per task with the smallest doc_id
+   there, and Spark finds the smallest document of each window;
 4. each document gets back the windows of which it is itself the first; its other marked windows go.
 
+Windows are equal when two hashes of 64 bits are, each over word hashes of its own seed; in the last step, where a
+document's windows meet those of which it is the first, the first hash and 32 bits of the second.
+
 Cases: null and empty texts have no words; rows that repeat a doc_id are one document for 'smaller' and are cleaned one
 by one; a row without doc_id is neither smaller nor larger than any and keeps its words; an empty table gives an empty
 result; other columns are not read."""
@@ -69,6 +72,17 @@ def _has(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return out
 
 
+def _among(row: np.ndarray, one: np.ndarray, two: np.ndarray, known_row: np.ndarray, known_one: np.ndarray, known_two: np.ndarray) -> np.ndarray:
+    """True where (row, one, two) is among the known ones."""
+    if not len(known_row):
+        return np.zeros(len(row), bool)
+    known = mix(known_one + known_row.astype(_U) * _ODD)
+    order = np.argsort(known)
+    key = mix(one + row.astype(_U) * _ODD)
+    at = order[np.minimum(np.searchsorted(known, key, sorter=order), len(order) - 1)]
+    return (known_one[at] == one) & (known_two[at] == two) & (known_row[at] == row)
+
+
 def _shared_anchors(rows: DataFrame) -> DataFrame:
     """Anchors that two or more rows have."""
 
@@ -100,7 +114,7 @@ def anchor_filter(shared: DataFrame, most_bits: int) -> np.ndarray:
 
 
 def _first_windows(rows: DataFrame, shared) -> DataFrame:
-    """(doc_id, firsts): the marked windows of which a document is the smallest holder."""
+    """(doc_id, firsts): the marked windows (hash, 32 bits of another) of which a document is the smallest holder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +123,7 @@ def _first_windows(rows: DataFrame, shared) -> DataFrame:
                 words = texts.words()
                 hashes = words.hashes()
                 at = _marked(words, hashes, shared.value)
-                one, two, doc = windows(hashes, SIZE, 2)[at], windows(hashes, SIZE, 3)[at], ids[i:j][words.text_of()[at]].astype(np.int64)
+                one, two, doc = windows(hashes, SIZE, 2)[at], windows(words.hashes(1), SIZE, 3)[at], ids[i:j][words.text_of()[at]].astype(np.int64)
                 order = np.lexsort((doc, two, one))
                 one, two, doc = one[order], two[order], doc[order]
                 new = np.ones(len(one), bool)
@@ -117,7 +131,7 @@ def _first_windows(rows: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(one[new].view(np.int64)), pa.array(two[new].view(np.int64)), pa.array(doc[new])], ["one", "two", "doc_id"])
 
     found = rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "one long, two long, doc_id long")
-    return found.groupBy("one", "two").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("one").alias("firsts"))
+    return found.groupBy("one", "two").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list(F.struct("one", F.shiftright(F.shiftleft("two", 32), 32).cast("int").alias("two"))).alias("firsts"))
 
 
 def clean(docs: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
@@ -133,7 +147,8 @@ def clean(docs: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, own = batch.column(0), batch.column(2)
-            known, offsets = own.flatten().to_numpy(zero_copy_only=False).view(_U), np.concatenate(([0], np.cumsum(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            one, two = (own.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             has_id = ids.is_valid().to_numpy(zero_copy_only=False)
             n_words, n_gone, digests, kept = [], [], [], []
             for i, j, texts in Texts.of(batch.column(1)).parts(8 << 20):
@@ -141,10 +156,9 @@ def clean(docs: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
                 hashes = words.hashes()
                 at = _marked(words, hashes, shared.value)
                 owner = words.text_of()[at]
-                here = known[offsets[i] : offsets[j]]
-                row = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1])).astype(_U)
-                key = mix(windows(hashes, SIZE, 2)[at] + owner.astype(_U) * _ODD)
-                go = at[~np.isin(key, mix(here + row * _ODD)) & has_id[i:j][owner]]
+                row, part = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1])), slice(offsets[i], offsets[j])
+                first = _among(owner, windows(hashes, SIZE, 2)[at], windows(words.hashes(1), SIZE, 3)[at].astype(np.uint32).view(np.int32), row, one[part].view(_U), two[part])
+                go = at[~first & has_id[i:j][owner]]
                 step = np.zeros(len(hashes) + 1, np.int64)
                 step[go] += 1
                 step[go + SIZE] -= 1
@@ -158,5 +172,6 @@ def clean(docs: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
                     n_words.append(int(b - a)), n_gone.append(gone), digests.append(hashlib.sha256(left).hexdigest()), kept.append(left)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = rows.join(firsts, "doc_id", "left")
-    return joined.select("doc_id", "text", "firsts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    joined = rows.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left").select("doc_id", "text", "firsts")
+    every = joined.unionByName(rows.where(F.col("doc_id").isNull()).withColumn("firsts", F.lit(None).cast(firsts.schema["firsts"].dataType)))
+    return every.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
