@@ -2,14 +2,15 @@
 
 Document i of source s gets the rate r_i in (0, 3) that is nearest to 1 in entropy among those with
 sum(r_i * size_i) = target_s. The dual has one multiplier per source and gives r = 3 e^t / (2 + e^t), t = lambda_s *
-size_i / mean_s, an exponential tilt that flattens at the bound. Each Newton iteration is one aggregation by source
-(safeguarded by a bracket); what reaches the driver is one row per source, and that row alone goes back, as a small
-joined table. Rates become copies by floor(rate + u) with a number u from the document's hash, moved by a shift per
+size_i / mean_s, an exponential tilt that flattens at the bound. As documents of one source and size have one rate,
+Newton runs on a stored table of (source, size, documents); each iteration is one aggregation by source (safeguarded by
+a bracket, at most 60 of them). What reaches the driver is one row per source, and that row alone goes back, as a small
+joined table: sources are taken to be few (thousands, not millions). Rates become copies by floor(rate + u) with a number u from the document's hash, moved by a shift per
 source that brings the total under its target, and last by single copies of documents that still fit the gap.
 
 Cases: null text has size 0; a null source is a source of its own, last in order; a source of size 0 has target 0;
 an empty table gives an empty result; rows that repeat a doc_id get the same number of copies. Columns of the input
-keep their names; the result is kept under names that start with two underscores until the end."""
+keep their names, whatever these are; they travel as one struct beside the operator's own columns."""
 
 from __future__ import annotations
 
@@ -84,6 +85,7 @@ def _sums(rows: DataFrame, mix: Mix, **sums: Column) -> dict[str, dict]:
 
 
 def _newton(rows: DataFrame, mix: Mix, steps: int = 60) -> None:
+    """Set each source's multiplier; ``rows`` are (__key, __size, __n documents)."""
     size, rate = F.col("__size"), _rate()
     bracket = {k: [-math.inf, math.inf] for k, p in mix.params.items()}
     open_ = set()
@@ -94,7 +96,7 @@ def _newton(rows: DataFrame, mix: Mix, steps: int = 60) -> None:
     for _ in range(steps):
         if not open_:
             return
-        found = _sums(rows, mix, got=size * rate, slope=size * size / F.col("__mean") * rate * (1 - rate / MOST))
+        found = _sums(rows, mix, got=F.col("__n") * size * rate, slope=F.col("__n") * size * size / F.col("__mean") * rate * (1 - rate / MOST))
         for k in sorted(open_):
             p, lam, (lo, hi) = mix.params[k], mix.params[k]["lam"], bracket[k]
             miss = found[k]["got"] - p["target"]
@@ -134,13 +136,14 @@ def _search(rows: DataFrame, mix: Mix, keys: set[str], name: str, low: float, hi
 
 def fit_mix(rows: DataFrame, fills: int = 4, near: float = 1e-3) -> Mix:
     """Parameters for ``rows`` (__id, __key, __size; read many times, so stored)."""
-    found = rows.groupBy("__key").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()
+    by_size = store(rows.groupBy("__key", "__size").agg(F.count("*").alias("__n")), "by_size")
+    found = by_size.groupBy("__key").agg(F.sum(F.col("__n") * F.col("__size")).alias("size"), F.sum("__n").alias("n")).collect()
     sizes = {r["__key"]: int(r["size"]) for r in found}
     goal = targets(sizes)
     mix = Mix(rows.sparkSession, {r["__key"]: {"source_size": sizes[r["__key"]], "target": goal[r["__key"]], "mean": max(1.0, sizes[r["__key"]] / r["n"]), "lam": 0.0, "shift": 0.0} for r in found}, 0)
     if not found:
         return mix
-    _newton(rows, mix)
+    _newton(by_size, mix)
     size = F.col("__size")
     keys = {k for k, p in mix.params.items() if math.isfinite(p["lam"]) and p["target"] > 0}
     room = {k: mix.params[k]["target"] for k in keys}
@@ -174,7 +177,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    rows = sized(docs)
+    rows = sized(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", "text"))
     mix = fit_mix(store(rows.select("__id", "__key", "__size"), "sizes"))
-    taken = mix.apply(rows).where(F.col("__copies") > 0)
-    return taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    taken = mix.apply(rows.select("row", "__id", "__key", "__size")).where(F.col("__copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("row.*")
