@@ -67,23 +67,30 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray, most: int, cuts: int) -
 
 
 def learn(table: dict[str, np.ndarray], good: np.ndarray, prune_on: np.ndarray, precision: float = 0.98, most_rules: int = 12, most_conditions: int = 4, cuts: int = 24, least: int = 3) -> list[list[Condition]]:
-    """Ordered rules against a text; ``prune_on`` marks the rows kept for pruning."""
-    rules, left, bad = [], np.ones(len(good), bool), ~good
-    while len(rules) < most_rules and (left & ~prune_on & bad).sum() >= least and (left & ~prune_on & good).any():
-        part = {n: x[left & ~prune_on] for n, x in table.items()}
-        rule = _grow(part, bad[left & ~prune_on], most_conditions, cuts)
+    """Ordered rules against a text; ``prune_on`` marks the rows kept for pruning. A rule that is not precise there is refused,
+    the bad rows that it was grown from are set aside, and others are grown from the rest."""
+    rules, bad = [], ~good
+    left, aside = np.ones(len(good), bool), np.zeros(len(good), bool)
+    while len(rules) < most_rules:
+        grow = left & ~prune_on & ~aside
+        if (grow & bad).sum() < least or not (grow & good).any():
+            break
+        rule = _grow({n: x[grow] for n, x in table.items()}, bad[grow], most_conditions, cuts)
         test, truth = {n: x[left & prune_on] for n, x in table.items()}, bad[left & prune_on]
         best = (-2.0, [])
         for k in range(len(rule), 0, -1):
             covered = _covers(rule[:k], test, len(truth))
             b, g = int((covered & truth).sum()), int((covered & ~truth).sum())
             best = max(best, ((b - g) / (b + g) if b + g else -1.0, rule[:k]), key=lambda v: v[0])
-        rule = best[1]
-        covered = _covers(rule, table, len(good)) & left
-        b, g = int((covered & bad).sum()), int((covered & good).sum())
-        if not rule or best[0] < 2 * precision - 1 or b < precision * (b + g) or not (covered & bad).sum() >= least:
+        grown = _covers(rule, table, len(good)) & grow & bad
+        if not rule or not grown.any():
             break
-        rules.append(rule)
+        covered = _covers(best[1], table, len(good)) & left if best[1] else np.zeros(len(good), bool)
+        b, g = int((covered & bad).sum()), int((covered & good).sum())
+        if best[0] < 2 * precision - 1 or b < precision * (b + g) or b < least:
+            aside |= grown
+            continue
+        rules.append(best[1])
         left &= ~covered
     return rules
 
