@@ -100,9 +100,9 @@ def score(average: Column, inflight: Column) -> Column:
     return average.cast("double") * (inflight + 1)
 
 
-def _draw(request: str, nth: Column, n: Column) -> Column:
+def _draw(request: Column, nth: Column, n: Column) -> Column:
     """A number from 1 to ``n`` by the request and the draw; any engine with MD5 can repeat it."""
-    digest = F.md5(F.concat_ws(":", F.col(request).cast("string"), nth.cast("string")))
+    digest = F.md5(F.concat_ws(":", request.cast("string"), nth.cast("string")))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n) + 1
 
 
@@ -119,18 +119,18 @@ def pick_of_two(requests: DataFrame, instances: DataFrame, request: str, service
     per = placed.groupBy(service).agg(F.count("*").alias("__n"), F.min(F.when(F.col("__ok"), one)).alias("__one"), F.min(F.when(~F.col("half_open"), F.struct("ejected_until", "id"))).alias("__soonest"))
     two = placed.where("__ok").join(per.select(service, F.col("__one.id").alias("__least")), service).where(F.col("id") > F.col("__least")).groupBy(service).agg(F.min(one).alias("__two"))
     per = per.join(two, service, "left")
-    asked = requests.select(request, service).join(per.select(service, "__n"), service)
-    drawn = asked.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__number", _draw(request, F.col("__nth"), F.col("__n")))
-    found = drawn.join(numbered.where("__ok"), [service, "__number"]).groupBy(request, service).agg(F.array_sort(F.collect_list(F.struct("__nth", "id", F.col("__score").alias("score")))).alias("__found"))
+    asked = requests.select(F.col(request).alias("__request"), service).join(per.select(service, "__n"), service)
+    drawn = asked.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__number", _draw(F.col("__request"), F.col("__nth"), F.col("__n")))
+    found = drawn.join(numbered.where("__ok"), [service, "__number"]).groupBy("__request", service).agg(F.array_sort(F.collect_list(F.struct("__nth", "id", F.col("__score").alias("score")))).alias("__found"))
     # at most ``draws`` in a list: the first, and the first other one
     first = F.get("__found", F.lit(0))
     other = F.get(F.filter("__found", lambda x: x["id"] != first["id"]), F.lit(0))
-    found = found.select(request, service, F.struct(first["id"].alias("id"), first["score"].alias("score")).alias("__a"), F.when(other.isNotNull(), F.struct(other["id"].alias("id"), other["score"].alias("score"))).alias("__b"))
-    out = asked.join(found, [request, service], "left").join(per.drop("__n"), service)
+    found = found.select("__request", service, F.struct(first["id"].alias("id"), first["score"].alias("score")).alias("__a"), F.when(other.isNotNull(), F.struct(other["id"].alias("id"), other["score"].alias("score"))).alias("__b"))
+    out = asked.join(found, ["__request", service], "left").join(per.drop("__n"), service)
     a = F.coalesce("__a", "__one")
     b = F.coalesce(F.col("__b"), F.when(F.col("__one.id") != a["id"], F.col("__one")), F.col("__two"))
     chosen = F.when(a.isNull(), F.col("__soonest.id")).when(b["score"] < a["score"], b["id"]).otherwise(a["id"])
-    return out.select(request, service, chosen.alias("id"), a.isNull().alias("all_ejected"))
+    return out.select(F.col("__request").alias(request), service, chosen.alias("id"), a.isNull().alias("all_ejected"))
 
 
 def token_bucket(requests: DataFrame, key: list[str], order: str, at_s: str, rate: float, burst: int) -> DataFrame:
