@@ -45,7 +45,7 @@ class WaveletMatrix:
         self.chunks = -(-self.n // CHUNK)
         shape, count = (self.bits, self.chunks), self.bits * self.chunks
         self.before = np.frombuffer(payload, "<u4", count, 14).reshape(shape).astype(np.int64)
-        self.at = np.concatenate(([0], np.cumsum(np.frombuffer(payload, "<u4", count, 14 + 4 * count)))) + 14 + 8 * count + 4 * self.bits
+        self.at = np.concatenate(([0], np.cumsum(np.frombuffer(payload, "<u4", count, 14 + 4 * count).astype(np.int64)))) + 14 + 8 * count + 4 * self.bits
         ones = np.frombuffer(payload, "<u4", self.bits, 14 + 8 * count)
         self.zeros = [self.n - int(x) for x in ones]
         self.payload, self.open = memoryview(payload), {}

@@ -2,6 +2,7 @@
 
 import collections
 import dataclasses
+import functools
 import hashlib
 import itertools
 import math
@@ -160,10 +161,15 @@ def test_mixing_keeps_columns_of_any_name(spark):
     assert out.columns == ["doc_id", "text", "source", "__size", "__copies"] and {(r["__size"], r["__copies"] - r["doc_id"]) for r in out.collect()} == {("mine", 0)}
 
 
-def _ids(text, end):
+@functools.cache
+def _library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokens.default_tokenizer()).encode(text or "", add_special_tokens=False).ids + [end]
+    return Tokenizer.from_file(tokens.default_tokenizer())
+
+
+def _ids(text, end):
+    return _library().encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_encoder_matches_library():
