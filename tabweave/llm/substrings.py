@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.shared import release, small_batches, store
+from tabweave.llm.shared import small_batches, store
 from tabweave.llm.textarrays import Spans, Texts, inside, mix, windows
 
 SIZE, PERIOD, COVER = 13, 7, (0, 1, 3)
@@ -114,7 +114,8 @@ def anchor_filter(shared: DataFrame, most_bits: int) -> np.ndarray:
 
 
 def _first_windows(rows: DataFrame, shared) -> DataFrame:
-    """(doc_id, firsts): the marked windows (hash, 32 bits of another) of which a document is the smallest holder."""
+    """(doc_id, firsts, more): hashes of the marked windows of which a document is the smallest holder, and 32 bits of the
+    other hash of each, in the same order (an array of pairs would take thrice the room)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +132,7 @@ def _first_windows(rows: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(one[new].view(np.int64)), pa.array(two[new].view(np.int64)), pa.array(doc[new])], ["one", "two", "doc_id"])
 
     found = rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "one long, two long, doc_id long")
-    return found.groupBy("one", "two").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list(F.struct("one", F.shiftright(F.shiftleft("two", 32), 32).cast("int").alias("two"))).alias("firsts"))
+    return found.groupBy("one", "two").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("one").alias("firsts"), F.collect_list(F.shiftright(F.shiftleft("two", 32), 32).cast("int")).alias("more"))
 
 
 def clean(docs: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
@@ -140,15 +141,13 @@ def clean(docs: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(anchor_filter(store(_shared_anchors(rows), "anchors"), most_bits))
-    release(spark)
     firsts = store(_first_windows(rows, shared), "firsts")
-    release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, own = batch.column(0), batch.column(2)
             offsets = np.concatenate(([0], np.cumsum(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-            one, two = (own.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            one, two = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
             has_id = ids.is_valid().to_numpy(zero_copy_only=False)
             n_words, n_gone, digests, kept = [], [], [], []
             for i, j, texts in Texts.of(batch.column(1)).parts(8 << 20):
@@ -172,6 +171,6 @@ def clean(docs: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
                     n_words.append(int(b - a)), n_gone.append(gone), digests.append(hashlib.sha256(left).hexdigest()), kept.append(left)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = rows.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left").select("doc_id", "text", "firsts")
-    every = joined.unionByName(rows.where(F.col("doc_id").isNull()).withColumn("firsts", F.lit(None).cast(firsts.schema["firsts"].dataType)))
+    joined = rows.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left").select("doc_id", "text", "firsts", "more")
+    every = joined.unionByName(rows.where(F.col("doc_id").isNull()), allowMissingColumns=True)
     return every.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
