@@ -1,12 +1,12 @@
 """Exact deduplication by deterministic block naming; DataFrame functions only.
 
 The normalised text (white space deleted, UTF-8) is cut into blocks of ``block`` bytes. Equal blocks get one integer
-name: the distinct blocks are sorted by their bytes over all partitions and numbered in that order, so one block's name
-is under another's exactly when its bytes are. Then neighbouring names are paired and the distinct pairs sorted and
-named in the same way, level by level, until each text has one name; texts are equal exactly when they have as many
-blocks and the same last name. No level compares by hash alone: a block travels to the naming with its
-content, and only its 128-bit fingerprint travels back once the naming has shown that no two blocks share one
-(else the job goes on with the next seed).
+name: the distinct blocks are sorted over all partitions, by their first ``HEAD`` bytes and then by their 128-bit
+fingerprint, which orders them fully, and numbered in that order. Then neighbouring names are paired and the distinct
+pairs sorted and named in the same way, level by level, until each text has one name; texts are equal exactly when they
+have as many blocks and the same last name. No level compares by hash alone: a block travels to the naming with its
+content, and only its 128-bit fingerprint travels back once the naming has shown that no two blocks share one (else the
+job goes on with the next seed).
 
 Names come with how often they occur. Keys that hold more than a thousandth of the rows, of which there are fewer than
 a thousand, are joined by broadcast and all others by shuffle, so a block, pair or group that a third of the rows share
@@ -23,9 +23,9 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.shared import free_name, release, store, strip_white
+from tabweave.llm.shared import free_name, store, strip_white
 
-BLOCK = 1024
+BLOCK, HEAD = 1024, 16
 
 
 def _blocks(norm, block: int):
@@ -46,12 +46,12 @@ def _named(distinct: DataFrame, order: list[str], keep: list[str], label: str) -
 
 
 def _block_names(docs: DataFrame, block: int, bits: int) -> tuple[DataFrame, int]:
-    """(h0, h1, n, name) of every distinct block, and the seed under which no two blocks share (h0, h1)."""
+    """(h0, h1, n, name) of every distinct block, n telling how often it occurs, and the seed under which no two blocks share (h0, h1)."""
     blocks = docs.select(F.explode(_blocks(strip_white(F.col("text")), block)).alias("block"))
     for seed in count():
         counted = blocks.groupBy(*_fingerprints(F.col("block"), seed, bits), "block").agg(F.count("*").alias("n"))
-        names = _named(counted, ["block"], ["h0", "h1", "n"], "names")
-        release(docs.sparkSession)
+        distinct = store(counted.select(F.substring("block", 1, HEAD).alias("head"), "h0", "h1", "n"), "distinct")
+        names = _named(distinct, ["head", "h0", "h1"], ["h0", "h1", "n"], "names")
         if names.groupBy("h0", "h1").count().where("count > 1").isEmpty():
             return names, seed
 
