@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.exact import join_unique
-from tabweave.llm.shared import free_name, release, small_batches, store
+from tabweave.llm.shared import free_name, small_batches, store
 from tabweave.llm.textarrays import Spans, Texts, inside, mix, numbers, windows
 
 SHINGLE, BANDS, ROWS = 5, 30, 5
@@ -296,10 +296,8 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     in_band = copies.select("node", F.posexplode("bands").alias("band", "bucket"))
     full = store(in_band.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub < last"), "buckets")
     members = store(join_unique(in_band, full.select("bucket", "hub", "size"), ["bucket"], "size"), "members")
-    release(spark)
     some = members.select("node").distinct()
     sets = store(_multisets(rows.join(some.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")), "sets")
-    release(spark)
     # copies are links already; a doc_id with several texts is a link between their classes
     same = join_unique(known.select("doc_id", "print"), copies.select("print", "node", "n"), ["print"], "n").where("doc_id <> node").select(F.col("node").alias("hub"), F.col("doc_id").alias("node")).distinct()
     pairs = store(members.where("node <> hub").select("hub", "node").distinct(), "pairs")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.shared import WORD, store
+from tabweave.llm.shared import WORD, release, store
 
 MOST, SHIFTS = 3, 16
 
@@ -67,7 +67,7 @@ class Mix:
     """A fitted mix: one row of parameters per source."""
 
     def __init__(self, spark, params: dict[str, dict], rounds: int):
-        self.spark, self.params, self.rounds = spark, params, rounds
+        self.spark, self.params, self.rounds, self.jobs = spark, params, rounds, 0
 
     def table(self) -> DataFrame:
         rows = [{"__key": k, **{f"__{n}": x for n, x in v.items()}} for k, v in sorted(self.params.items())]
@@ -81,6 +81,9 @@ class Mix:
 
 
 def _sums(rows: DataFrame, mix: Mix, **sums: Column) -> dict[str, dict]:
+    mix.jobs += 1
+    if mix.jobs % 4 == 0:
+        release(mix.spark)
     return {r["__key"]: r.asDict() for r in rows.join(mix.table(), "__key").groupBy("__key").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items())).collect()}
 
 

@@ -43,10 +43,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def store(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again, which cuts the lineage and survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it again, which cuts the lineage and survives lost executors.
+
+    The plans behind it are garbage then, and are collected at once: a pipeline has hundreds, and a driver little memory."""
     path = new_path(df.sparkSession, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
