@@ -35,7 +35,7 @@ _CHUNK_STEP, _LONG_RANGE = _U(0x9E3779B97F4A7C15), 2048
 _KEEP = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], _U)
 
 
-def _range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """Hash of data[start:end] of every range: its length and then its bytes, eight at a time, each step mixed.
 
     Equal lengths up to eight bytes cannot collide, as every step is a bijection; ranges beyond 2,048 bytes, which are
@@ -130,7 +130,7 @@ class Spans:
         return np.repeat(np.arange(len(self.of)), self.counts)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return _range_hashes(self.of.data, self.starts, self.ends, seed)
+        return range_hashes(self.of.data, self.starts, self.ends, seed)
 
 
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

@@ -1,8 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models over the bytes of words.
 
 Letters are lower-cased and words are runs of letters. A model of a class gives the probability of each byte of a word
-after the word's bytes before it, up to ``REACH`` of them with the end mark; what lies beyond has the same probability
-in both classes. Counts are discounted absolutely, and what the discount frees goes to the model below:
+after the word's bytes before it, the end mark included. A word of ``REACH`` bytes or more, as scripts without spaces and
+joined words have, is modelled to its end in overlapping pieces: one begins at every character and has ``REACH`` bytes, or
+what is left of the word. Pieces that a word has more than once count once in each stretch of ``STRETCH`` bytes, and so do
+ends of the word that also begin another piece of the stretch. Counts are discounted absolutely, and what the discount
+frees goes to the model below:
 
 * shared: n-grams of up to ``ORDER`` bytes, each counted by its distinct left extensions over the words of both classes;
 * ordinary: counts of the ordinary texts, backing off to the shared model;
@@ -10,8 +13,9 @@ in both classes. Counts are discounted absolutely, and what the discount frees g
   the two agree; a context that it saw once or twice says little, as the discount takes most of it.
 
 Toxic texts are ordinary ones but for some words, so a word of a toxic text comes from the toxic model with the
-probability ``SHARE`` and else from the ordinary one. A text's evidence is the difference of its two log-likelihoods
-divided by its length (its modelled bytes), and isotonic regression turns evidence into a probability.
+probability ``SHARE`` and else from the ordinary one; each piece of a long word counts as a word here. A text's evidence
+is the difference of its two log-likelihoods divided by its length (its modelled bytes, those of several pieces once), and
+isotonic regression turns evidence into a probability.
 
 Counting covers every labelled row of folds 0 and 1 (equal texts of one class count once) and is done by Spark with
 the bytes themselves as keys; fold 3 calibrates. Only prefixes of words that the toxic class has differ between the
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tabweave.llm.quality import isotonic
 from tabweave.llm.shared import fold, free_name, held_out, small_batches, store, with_labels
-from tabweave.llm.textarrays import Spans, Texts, mix, numbers
+from tabweave.llm.textarrays import Texts, mix, numbers, range_hashes
 
 ORDER, REACH, HEAD, DISCOUNT, SHARE = 5, 16, 4, 0.75, 0.01
 #: Bins of the calibration: evidence on a logarithmic scale from the least that a text can have.
@@ -49,7 +53,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
-PART = 2 << 20
+PART, STRETCH, MOST = 2 << 20, 1 << 16, 1 << 20
 
 
 def _lower(texts: Texts) -> Texts:
@@ -60,31 +64,85 @@ def _lower(texts: Texts) -> Texts:
     return Texts(data, texts.offsets)
 
 
+def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, stretch) of the pieces of stretches of long words: a stretch's pieces begin in data[start:end], their word goes on to ``until``."""
+    stretch = np.repeat(np.arange(len(starts)), ends - starts)
+    at = np.arange(len(stretch)) + (starts - (np.cumsum(ends - starts) - (ends - starts)))[stretch]
+    keep = (data[at] & 0xC0) != 0x80
+    at, stretch = at[keep], stretch[keep]
+    left = until[stretch] - at
+    padded = np.zeros(len(data) + REACH, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+    low, high = eight[at], eight[at + 8]
+    once = left >= REACH
+    whole = np.flatnonzero(once)
+    once[whole] = False
+    once[whole[np.unique(mix(mix(mix(low[whole]) ^ high[whole]) ^ stretch[whole].astype(_U)), return_index=True)[1]]] = True
+    for size in range(1, REACH):  # the last characters, where the stretch does not have them before
+        tail = np.flatnonzero(left == size)
+        if not len(tail):
+            continue
+        want, has = np.zeros((2, len(starts)), _U), np.zeros(len(starts), bool)
+        want[:, stretch[tail]], has[stretch[tail]] = (low[tail], high[tail]), True
+        masks = [_U((1 << 8 * min(max(n, 0), 8)) - 1) for n in (size, size - 8)]
+        again = has[stretch] & (left > size) & ((low ^ want[0][stretch]) & masks[0] == 0) & ((high ^ want[1][stretch]) & masks[1] == 0)
+        has[stretch[again]] = False
+        once[tail] = has[stretch[tail]]
+    return at[once], np.minimum(left[once], REACH), stretch[once]
+
+
 @dataclass
 class Words:
-    """The words of some texts, and the distinct ones: where one of each stands and how many modelled bytes it has."""
+    """Pieces of some texts, each with its text and how many bytes it models that no piece before it does; and the distinct
+    ones: where one of each stands, how many bytes it has, and how many with the end mark."""
 
-    spans: Spans
+    data: np.ndarray
+    owner: np.ndarray
+    fresh: np.ndarray
     which: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
     sizes: np.ndarray
 
     @classmethod
-    def of(cls, texts: Texts) -> Words:
-        low = _lower(texts)
-        spans = low._spans(_LETTER[low.data])
-        _, at, which = np.unique(spans.hashes(), return_index=True, return_inverse=True)
-        lengths = spans.ends[at] - spans.starts[at]
-        return cls(spans, which, spans.starts[at], lengths, np.minimum(lengths + 1, REACH))
+    def of(cls, texts: Texts) -> Iterator[Words]:
+        """All pieces, about ``MOST`` at a time."""
+        data = _lower(texts).data
+        spans = Texts(data, texts.offsets)._spans(_LETTER[data])
+        size = spans.ends - spans.starts
+        parts = np.where(size < REACH, 1, -(-size // STRETCH))
+        until, owner = np.repeat(spans.ends, parts), np.repeat(spans.text_of(), parts)
+        starts = np.repeat(spans.starts, parts) + STRETCH * (np.arange(len(until)) - np.repeat(np.cumsum(parts) - parts, parts))
+        ends, long = np.minimum(starts + STRETCH, until), np.repeat(size >= REACH, parts)
+        work, reached, i = np.cumsum(np.where(long, ends - starts, 1)), 0, 0
+        while i < len(starts):
+            j = int(np.searchsorted(work, (work[i - 1] if i else 0) + MOST)) + 1
+            at, length, of, mark = starts[i:j], ends[i:j] - starts[i:j], owner[i:j], ~long[i:j]
+            if not mark.all():
+                cut = np.flatnonzero(~mark)
+                more = _pieces(data, at[cut], at[cut] + length[cut], until[i:j][cut])
+                at, length, of = (np.concatenate((x[mark], y)) for x, y in ((at, more[0]), (length, more[1]), (of, of[cut][more[2]])))
+                order = np.argsort(at, kind="stable")
+                mark = (np.arange(len(at)) < mark.sum())[order]
+                at, length, of = at[order], length[order], of[order]
+            i = j
+            if not len(at):
+                continue
+            hashes = range_hashes(data, at, at + length, 0)
+            hashes[~mark] = mix(hashes[~mark] ^ _ROOT)
+            _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            fresh = at + length + mark - np.maximum(at, np.concatenate(([reached], (at + length)[:-1])))
+            yield cls(data, of, fresh, which, at[first], length[first], (length + mark)[first])
+            reached = int(at[-1] + length[-1])
 
     def byte(self, rows: np.ndarray, place: int) -> np.ndarray:
-        """The byte at ``place`` of the distinct words ``rows``, all of which have one there; the end mark is 0."""
-        data, at = self.spans.of.data, self.starts[rows] + place
-        return np.where(place < self.lengths[rows], data[np.minimum(at, len(data) - 1)], 0)
+        """The byte at ``place`` of the distinct pieces ``rows``, all of which have one there; the end mark is 0."""
+        at = self.starts[rows] + place
+        return np.where(place < self.lengths[rows], self.data[np.minimum(at, len(self.data) - 1)], 0)
 
     def keys(self) -> pa.Array:
-        """The modelled bytes of the distinct words: the word and a 0, or its first ``REACH`` bytes."""
+        """The modelled bytes of the distinct pieces: a short word and a 0, or bytes of a long one."""
         first = np.concatenate(([0], np.cumsum(self.sizes)))
         out = np.zeros(first[-1], np.uint8)
         for place in range(int(self.sizes.max(initial=0))):
@@ -108,16 +166,16 @@ def prefix_hashes(keys: list[bytes]) -> np.ndarray:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(key, n0, n1): how often the words with these modelled bytes are in the ordinary and in the toxic texts of ``rows`` (text, toxic)."""
+    """(key, n0, n1): how often the pieces with these modelled bytes are in the ordinary and in the toxic texts of ``rows`` (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False) == 1
             for i, j, texts in Texts.of(batch.column(0)).parts(PART):
-                words = Words.of(texts)
-                of = toxic[i:j][words.spans.text_of()]
-                n = [np.bincount(words.which[of == c], minlength=len(words.sizes)) for c in (False, True)]
-                yield pa.RecordBatch.from_arrays([words.keys(), *(pa.array(x.astype(np.int64)) for x in n)], ["key", "n0", "n1"])
+                for words in Words.of(texts):
+                    of = toxic[i:j][words.owner]
+                    n = [np.bincount(words.which[of == c], minlength=len(words.sizes)) for c in (False, True)]
+                    yield pa.RecordBatch.from_arrays([words.keys(), *(pa.array(x.astype(np.int64)) for x in n)], ["key", "n0", "n1"])
 
     return rows.select("text", "toxic").mapInArrow(run, "key binary, n0 long, n1 long").groupBy("key").agg(*(F.sum(n).alias(n) for n in ("n0", "n1")))
 
@@ -184,7 +242,7 @@ def _hashed(prefixes: DataFrame) -> DataFrame:
 
 
 def log_ratios(words: Words, table: tuple[np.ndarray, ...], part: int, parts: int) -> np.ndarray:
-    """Difference of the log-likelihoods of every distinct word, toxic mixture less ordinary; 0 for words of another slice than ``part``."""
+    """Difference of the log-likelihoods of every distinct piece, toxic mixture less ordinary; 0 for pieces of another slice than ``part``."""
     h, r, leave = table
     n = len(words.sizes)
     total, hashes, last = np.zeros(n), np.full(n, _ROOT, _U), np.zeros(n, np.int64)
@@ -216,13 +274,12 @@ def log_ratios(words: Words, table: tuple[np.ndarray, ...], part: int, parts: in
 
 def _sums(column: pa.Array, table: tuple[np.ndarray, ...], part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(difference of the log-likelihoods, modelled bytes) of each text."""
-    sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
-    for _, _, texts in Texts.of(column).parts(PART):
-        words = Words.of(texts)
-        for out, value in ((sums, log_ratios(words, table, part, parts)), (sizes, words.sizes)):
-            total = np.concatenate((value[:0], [0], np.cumsum(value[words.which])))
-            out.append(total[words.spans.first[1:]] - total[words.spans.first[:-1]])
-    return np.concatenate(sums), np.concatenate(sizes)
+    sums, sizes = np.zeros(len(column)), np.zeros(len(column), np.int64)
+    for i, j, texts in Texts.of(column).parts(PART):
+        for words in Words.of(texts):
+            sums[i:j] += np.bincount(words.owner, log_ratios(words, table, part, parts)[words.which], j - i)
+            sizes[i:j] += np.bincount(words.owner, words.fresh, j - i).astype(np.int64)
+    return sums, sizes
 
 
 @dataclass

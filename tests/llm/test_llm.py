@@ -586,6 +586,56 @@ def test_toxicity_is_plain_kneser_ney(spark):
     assert sliced.parts > 2 and np.array_equal(sliced.curve, model.curve)
 
 
+def _long_word_pieces(word):
+    """Pieces of a word of 16 bytes or more and its bytes that they cover, by trying every character."""
+    data, seen, covered, pieces = word.encode(), [], set(), []
+    for at in (len(word[:k].encode()) for k in range(len(word))):
+        piece = data[at : at + 16]
+        if not any(s.startswith(piece) for s in seen):
+            pieces.append(piece)
+            covered |= set(range(at, at + len(piece)))
+        seen.append(piece)
+    return pieces, len(covered)
+
+
+def test_toxicity_pieces_of_long_words(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aé毒字ab1 ") for _ in range(rng.randrange(0, 90))) for _ in range(300)] + ["x" * 40, "x" * 15, "毒字典" * 30 + "毒字", "", "毒" * 5 + "é", "ab" * 16 + "é"]
+    for most in (toxicity.MOST, 40, 1):
+        monkeypatch.setattr(toxicity, "MOST", most)
+        got, fresh, want, covered = collections.Counter(), np.zeros(len(texts), np.int64), collections.Counter(), [0] * len(texts)
+        for words in toxicity.Words.of(Texts.of(pa.array(texts))):
+            keys = words.keys().to_pylist()
+            got.update((i, keys[k]) for i, k in zip(words.owner.tolist(), words.which.tolist(), strict=True))
+            np.add.at(fresh, words.owner, words.fresh)
+        for i, w in ((i, w) for i, t in enumerate(texts) for w in re.findall(r"[^\W\d_]+", t)):
+            pieces, n = _long_word_pieces(w) if len(w.encode()) >= 16 else ([w.encode() + b"\0"], len(w.encode()) + 1)
+            want.update((i, p) for p in pieces)
+            covered[i] += n
+        assert got == want and fresh.tolist() == covered
+    monkeypatch.setattr(toxicity, "STRETCH", 33)  # the last stretch has half a character
+    assert sum(int(w.fresh.sum()) for w in toxicity.Words.of(Texts.of(pa.array(["ab" * 16 + "é"])))) > 16
+
+
+def test_toxicity_reads_texts_without_spaces(spark):
+    """An expression far inside one unbroken word counts as one at its beginning does."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        w = [chr(0x4E00 + rng.randrange(300)) for _ in range(60)]
+        if i % 3 == 0:
+            k = rng.randrange(20, 57)
+            w[k : k + 3] = rng.choice(["毒毒語", "悪悪語"])
+        rows.append((i, "".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    data, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(data, labels)
+    assert _accuracy(toxicity.score_toxicity(data, labels), labels, "predicted", "toxic") > 0.95
+    inside = rows[1][1][:40] + "毒毒語" + rows[1][1][40:]
+    e = {r["doc_id"]: r["e"] for r in toxicity.with_evidence(spark.createDataFrame([(1, rows[1][1]), (2, inside), (3, inside[:43])], "doc_id long, text string"), model, "e").collect()}
+    assert e[2] > e[1] and e[3] > e[1]
+
+
 def test_toxicity(labelled, docs, empty):
     data, labels = labelled
     assert _accuracy(toxicity.score_toxicity(data, labels), labels, "predicted", "toxic") > 0.93
