@@ -179,6 +179,25 @@ def test_encoder_matches_library():
         assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode_batch(part)] == [_ids(t, 0)[:-1] for t in part]
 
 
+def test_encoder_sends_pieces_once():
+    """New pieces go to the library as one string, a full cache keeps what is met again, and the ids are the library's."""
+    enc, sent, calls = tokens.Encoder(tokens.default_tokenizer(), most_words=50, most_pieces=50), collections.Counter(), []
+    assert enc.encode_batch([]) == []
+    library = enc.piece
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            sent.update(x for t in texts for x in t.split("\n"))
+            return library.encode_batch_fast(texts, **options)
+
+    enc.piece = Counting()
+    for k in range(30):
+        texts = [f"  often the,same {' '.join(f'w{k}x{i}, q{chr(97 + i)}{chr(97 + k % 26)}... Σ{i} ΩΑΣ Σ{i}' for i in range(20))}\t\n", "", " ", f"often{k} </w> often the,same <|x"]
+        assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode_batch(texts)] == [_ids(t, 0)[:-1] for t in texts]
+    assert sent["often"] == sent["same"] == 1 and len(sent) > 400 and set(calls) == {1}
+
+
 def test_encoder_matches_library_on_every_character():
     """U+0020 to U+024F alone, before, after and between letters, digits and marks."""
     enc = tokens.Encoder(tokens.default_tokenizer())
