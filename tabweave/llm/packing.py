@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             if not batch.num_rows:
                 continue
             ids, texts = [], batch.column(1).to_pylist()
-            for i, j in text_parts([t or "" for t in texts]):
+            for i, j in text_parts([t or "" for t in texts], 3 << 20):  # the pipeline has little memory left here
                 ids += enc.encode_batch([t or "" for t in texts[i:j]])
             lengths = np.array([len(b) // enc.dtype.itemsize + 1 for b in ids], np.int64)
             p = pack(lengths, longest, open_size)

@@ -47,9 +47,13 @@ def default_tokenizer() -> str:
 
 def _take(ids: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of neighbouring groups of ``ids`` those numbered ``which``, one after another, and where each begins and the last ends."""
+    total = int(size[which].sum())
+    size = size.astype(np.int32 if total < 1 << 31 else np.int64)  # half the memory, but for very large texts
     each = size[which]
-    ends = np.concatenate(([0], np.cumsum(each)))
-    return ids[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], each) + np.arange(ends[-1])], ends
+    ends = np.concatenate((np.zeros(1, size.dtype), np.cumsum(each, dtype=size.dtype)))
+    at = np.repeat((np.cumsum(size, dtype=size.dtype) - size)[which] - ends[:-1], each)
+    at += np.arange(total, dtype=size.dtype)
+    return ids[at], ends
 
 
 class Encoder:
@@ -97,7 +101,7 @@ class Encoder:
         met, which = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
         own = self._pieces(met)
         ids, ends = _take(np.frombuffer(b"".join(own), self.dtype), np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize, which)
-        size = np.diff(ends[np.flatnonzero(which == met.index("\n"))], prepend=0)
+        size = np.diff(ends[np.flatnonzero(which == met.index("\n"))].astype(np.int64), prepend=0)
         if odd:
             n = np.array([len(x) for x in special])
             ids = np.insert(ids, np.repeat((np.cumsum(size) - size)[odd], n), np.concatenate(special))
@@ -144,7 +148,7 @@ class Encoder:
         met, which = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
         parts = [self._words(met[k : k + self.most_words]) for k in range(0, len(met), self.most_words)] or [(np.zeros(0, self.dtype), np.zeros(0, np.int64))]
         ids, ends = _take(*map(np.concatenate, zip(*parts, strict=True)), which)
-        at, ids = (ends[split.offsets.to_numpy()] * self.dtype.itemsize).tolist(), ids.tobytes()
+        at, ids = (ends[split.offsets.to_numpy()].astype(np.int64) * self.dtype.itemsize).tolist(), ids.tobytes()
         return list(map(ids.__getitem__, map(slice, at[:-1], at[1:])))
 
 
