@@ -5,8 +5,10 @@ sum(r_i * size_i) = target_s. The dual has one multiplier per source and gives r
 size_i / mean_s, an exponential tilt that flattens at the bound. As documents of one source and size have one rate,
 Newton runs on a stored table of (source, size, documents); each iteration is one aggregation by source (safeguarded by
 a bracket, at most 60 of them). What reaches the driver is one row per source, and that row alone goes back, as a small
-joined table: sources are taken to be few (thousands, not millions). Rates become copies by floor(rate + u) with a number u from the document's hash, moved by a shift per
-source that brings the total under its target, and last by single copies of documents that still fit the gap.
+joined table: sources are taken to be few (thousands, not millions). Rates become copies by floor(rate + u) with a number
+u from the document's hash, moved by a shift per source that brings the total under its target, and last by single copies
+of documents that still fit the gap. Shift and copies are found by binned sums: a document's words are counted in the bin
+from which on it is taken, and running totals tell the last bin that fits; two passes of 256 bins, in whole numbers.
 
 Cases: null text has size 0; a null source is a source of its own, last in order; a source of size 0 has target 0;
 an empty table gives an empty result; rows that repeat a doc_id get the same number of copies. Columns of the input
@@ -17,12 +19,13 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.shared import WORD, release, store
 
-MOST, SHIFTS = 3, 16
+#: Copies at most; whole numbers of 2^-40 copies stand for rates, draws and shifts; a search is two passes over 256 bins.
+MOST, ONE, PASSES, BITS = 3, 40, 2, 8
 
 
 def source_key(source: Column) -> Column:
@@ -44,8 +47,9 @@ def targets(sizes: dict[str, int], weights: tuple[int, ...] = (1, 2, 3), most: i
     return out
 
 
-def _uniform(seed: int) -> Column:
-    return (F.xxhash64(F.lit(seed), F.col("__id")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).cast("double")
+def _draw(seed: int) -> Column:
+    """A number from 0 to 2^40 - 1 by the document."""
+    return F.xxhash64(F.lit(seed), F.col("__id")).bitwiseAND(F.lit((1 << ONE) - 1))
 
 
 def _rate() -> Column:
@@ -54,13 +58,13 @@ def _rate() -> Column:
     return F.when(F.col("__lam") == math.inf, F.lit(float(MOST))).when(F.col("__lam") == -math.inf, F.lit(0.0)).otherwise(MOST / (1.0 + (MOST - 1.0) * F.exp(-F.greatest(F.least(t, F.lit(700.0)), F.lit(-700.0)))))
 
 
-def _copies(rounds: int, shift: Column | None = None) -> Column:
-    base = F.floor(_rate() + _uniform(1) + (F.col("__shift") if shift is None else shift))
-    out = F.greatest(F.lit(0), F.least(F.lit(MOST), base)).cast("long")
-    for r in range(rounds):
-        fits = (out < MOST) & (F.col("__size") > 0) & (F.col("__size") <= F.col(f"__gap{r}")) & (_uniform(2 + r) < F.col(f"__part{r}"))
-        out = out + fits.cast("long")
-    return out
+def _level() -> Column:
+    """Rate and draw, whose whole part is the number of copies before a shift."""
+    return F.floor(_rate() * F.lit(float(1 << ONE))).cast("long") + _draw(1)
+
+
+def _fits(r: int) -> Column:
+    return (F.col("__copies") < MOST) & (F.col("__size") > 0) & (F.col("__size") <= F.col(f"__gap{r}"))
 
 
 class Mix:
@@ -71,25 +75,34 @@ class Mix:
 
     def table(self) -> DataFrame:
         rows = [{"__key": k, **{f"__{n}": x for n, x in v.items()}} for k, v in sorted(self.params.items())]
-        fields = [("__key", pa.string()), ("__source_size", pa.int64()), *((f"__{n}", pa.float64()) for n in ("target", "mean", "lam", "shift")), *((f"__{n}{r}", pa.float64()) for r in range(self.rounds) for n in ("gap", "part"))]
+        fields = [("__key", pa.string()), ("__source_size", pa.int64()), *((f"__{n}", pa.float64()) for n in ("target", "mean", "lam")), ("__shift", pa.int64()), *((f"__{n}{r}", kind) for r in range(self.rounds) for n, kind in (("gap", pa.float64()), ("part", pa.int64())))]
         return self.spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema(fields)))
 
-    def apply(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with __id, __key, __size) and its source's parameters and __copies."""
-        out = rows.join(self.table(), "__key")
-        return out.withColumn("__copies", _copies(self.rounds))
+    def join(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with __key) and its source's parameters."""
+        return rows.join(self.table(), "__key")
 
+    def apply(self, rows: DataFrame, rounds: int | None = None) -> DataFrame:
+        """``rows`` (with __id, __key, __size), its source's parameters and __copies, after ``rounds`` of single copies or all.
 
-def _sums(rows: DataFrame, mix: Mix, **sums: Column) -> dict[str, dict]:
-    mix.jobs += 1
-    if mix.jobs % 4 == 0:
-        release(mix.spark)
-    return {r["__key"]: r.asDict() for r in rows.join(mix.table(), "__key").groupBy("__key").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items())).collect()}
+        Each round is a projection of its own: one expression of all would double with every round."""
+        shifted = F.shiftright(_level() + F.col("__shift"), ONE)
+        out = self.join(rows).withColumn("__copies", F.greatest(F.lit(0), F.least(F.lit(MOST), shifted)).cast("long"))
+        for r in range(self.rounds if rounds is None else rounds):
+            out = out.withColumn("__copies", F.col("__copies") + (_fits(r) & (_draw(2 + r) < F.col(f"__part{r}"))).cast("long"))
+        return out
+
+    def collect(self, found: DataFrame) -> dict[str, dict]:
+        """The rows of ``found``, at most one per source, by source."""
+        self.jobs += 1
+        if self.jobs % 4 == 0:
+            release(self.spark)
+        return {r["__key"]: r.asDict() for r in found.collect()}
 
 
 def _newton(rows: DataFrame, mix: Mix, steps: int = 60) -> None:
     """Set each source's multiplier; ``rows`` are (__key, __size, __n documents)."""
-    size, rate = F.col("__size"), _rate()
+    size, rate, n = F.col("__size"), F.col("__rate"), F.col("__n")
     bracket = {k: [-math.inf, math.inf] for k, p in mix.params.items()}
     open_ = set()
     for k, p in mix.params.items():
@@ -99,7 +112,8 @@ def _newton(rows: DataFrame, mix: Mix, steps: int = 60) -> None:
     for _ in range(steps):
         if not open_:
             return
-        found = _sums(rows, mix, got=F.col("__n") * size * rate, slope=F.col("__n") * size * size / F.col("__mean") * rate * (1 - rate / MOST))
+        rated = mix.join(rows).withColumn("__rate", _rate())
+        found = mix.collect(rated.groupBy("__key").agg(F.sum(n * size * rate).alias("got"), F.sum(n * size * size / F.col("__mean") * rate * (1 - rate / MOST)).alias("slope")))
         for k in sorted(open_):
             p, lam, (lo, hi) = mix.params[k], mix.params[k]["lam"], bracket[k]
             miss = found[k]["got"] - p["target"]
@@ -118,23 +132,27 @@ def _newton(rows: DataFrame, mix: Mix, steps: int = 60) -> None:
             p["lam"] = new
 
 
-def _search(rows: DataFrame, mix: Mix, keys: set[str], name: str, low: float, high: float, passes: int, taken, room: dict[str, float]) -> dict[str, float]:
-    """Set parameter ``name`` of each source to a value under which the sum of ``taken`` is at most ``room``, as far up as ``passes`` 16-fold searches tell; the sums there."""
-    at, best = {k: (low, high) for k in keys}, {}
-    for _ in range(passes):
-        for k in mix.params:
-            mix.params[k]["low"], mix.params[k]["step"] = (at[k][0], (at[k][1] - at[k][0]) / SHIFTS) if k in at else (low, 0.0)
-        steps = {f"s{j}": taken(F.col("__low") + j * F.col("__step")) for j in range(SHIFTS + 1)}
-        extra = mix.spark.createDataFrame(pa.Table.from_pylist([{"__key": k, "__low": p["low"], "__step": p["step"]} for k, p in mix.params.items()]))
-        found = _sums(rows.join(extra, "__key"), mix, **steps)
+def _search(needs, mix: Mix, keys: set[str], name: str, room: str, low: int, width: int) -> dict[str, int]:
+    """Set parameter ``name`` of each source as far up from ``low`` as the words that it admits fit its ``room``; those words.
+
+    ``needs()`` has rows (parameters, __size, __need): so many words are admitted from the value __need on. Each pass sums
+    them in ``2^BITS`` bins of the range, which is 2^width and in the next pass one bin."""
+    got: dict[str, int] = {}
+    for k in keys:
+        mix.params[k][name] = low
+    for p in range(1, PASSES + 1):
+        bits = width - p * BITS
+        at = F.greatest(F.lit(0), F.shiftright(F.col("__need") - F.col(f"__{name}") + F.lit((1 << bits) - 1), bits))
+        bins = needs().select("__key", F.col(room).alias("__room"), "__size", at.alias("__bin")).where(F.col("__bin") <= 1 << BITS)
+        bins = bins.groupBy("__key", "__room", "__bin").agg(F.sum("__size").alias("__words"))
+        words = bins.withColumn("__words", F.sum("__words").over(Window.partitionBy("__key").orderBy("__bin")))
+        fits = F.col("__words") <= F.col("__room")
+        found = mix.collect(words.groupBy("__key").agg(F.min(F.when(~fits, F.col("__bin"))).alias("over"), F.max(F.when(fits, F.col("__words"))).alias("got")))
         for k in keys:
-            a, step = at[k][0], mix.params[k]["step"]
-            j = max((j for j in range(SHIFTS + 1) if found[k][f"s{j}"] <= room[k]), default=0)
-            best[k], mix.params[k][name] = float(found[k][f"s{j}"]), a + j * step
-            at[k] = (a + j * step, a + min(j + 1, SHIFTS) * step)
-    for p in mix.params.values():
-        p.pop("low", None), p.pop("step", None)
-    return best
+            over = found[k]["over"] if k in found else None
+            mix.params[k][name] += max(0, (1 << BITS if over is None else over - 1)) << bits
+            got[k] = found[k]["got"] or 0 if k in found else 0
+    return got
 
 
 def fit_mix(rows: DataFrame, fills: int = 4, near: float = 1e-3) -> Mix:
@@ -143,24 +161,25 @@ def fit_mix(rows: DataFrame, fills: int = 4, near: float = 1e-3) -> Mix:
     found = by_size.groupBy("__key").agg(F.sum(F.col("__n") * F.col("__size")).alias("size"), F.sum("__n").alias("n")).collect()
     sizes = {r["__key"]: int(r["size"]) for r in found}
     goal = targets(sizes)
-    mix = Mix(rows.sparkSession, {r["__key"]: {"source_size": sizes[r["__key"]], "target": goal[r["__key"]], "mean": max(1.0, sizes[r["__key"]] / r["n"]), "lam": 0.0, "shift": 0.0} for r in found}, 0)
+    mix = Mix(rows.sparkSession, {r["__key"]: {"source_size": sizes[r["__key"]], "target": goal[r["__key"]], "mean": max(1.0, sizes[r["__key"]] / r["n"]), "lam": 0.0, "shift": 0} for r in found}, 0)
     if not found:
         return mix
     _newton(by_size, mix)
-    size = F.col("__size")
     keys = {k for k, p in mix.params.items() if math.isfinite(p["lam"]) and p["target"] > 0}
-    room = {k: mix.params[k]["target"] for k in keys}
-    got = _search(rows, mix, keys, "shift", -1.0, 1.0, 4, lambda shift: size * _copies(0, shift), room) if keys else {}
+
+    def copies() -> DataFrame:
+        nth = mix.join(rows).withColumn("__level", _level()).withColumn("__nth", F.explode(F.array(*(F.lit(c) for c in range(1, MOST + 1)))))
+        return nth.withColumn("__need", F.shiftleft(F.col("__nth").cast("long"), ONE) - F.col("__level"))
+
+    got = _search(copies, mix, keys, "shift", "__target", -(1 << ONE), ONE + 1) if keys else {}
     for r in range(fills):
         short = {k for k in keys if mix.params[k]["target"] - got[k] > near * mix.params[k]["target"]}
         if not short:
             break
         for k, p in mix.params.items():
-            p[f"gap{r}"], p[f"part{r}"] = (p["target"] - got[k] if k in short else 0.0), 0.0
+            p[f"gap{r}"], p[f"part{r}"] = (p["target"] - got[k] if k in short else 0.0), 0
         mix.rounds = r + 1
-        before = _copies(r)
-        fits = (before < MOST) & (size > 0) & (size <= F.col(f"__gap{r}"))
-        added = _search(rows, mix, short, f"part{r}", 0.0, 1.0, 3, lambda part, fits=fits, r=r: F.when(fits & (_uniform(2 + r) < part), size).otherwise(0), {k: mix.params[k][f"gap{r}"] for k in short})
+        added = _search(lambda r=r: mix.apply(rows, r).where(_fits(r)).withColumn("__need", _draw(2 + r) + 1), mix, short, f"part{r}", f"__gap{r}", 0, ONE)
         for k in short:
             got[k] += added[k]
     return mix

@@ -155,6 +155,41 @@ def test_mixing_multipliers_are_a_plain_solution(spark):
         assert mix.params[k]["target"] == pytest.approx(goal[k]) and mix.params[k]["lam"] == pytest.approx(low, abs=1e-4)
 
 
+def test_mixing_plans_grow_with_rounds_not_double(spark):
+    """The driver holds and compiles these plans; as one nested expression, copies doubled with every round."""
+    rows = spark.createDataFrame([(i, "0a", 5) for i in range(40)], "__id long, __key string, __size long").repartition(2)
+
+    def mix(rounds):
+        own = {f"{n}{r}": x for r in range(rounds) for n, x in (("gap", 5.0), ("part", 0))}
+        return mixing.Mix(spark, {"0a": {"source_size": 200, "target": 200.0, "mean": 5.0, "lam": 0.0, "shift": 0, **own}}, rounds).apply(rows)
+
+    length = [len(mix(n).select("__copies")._jdf.queryExecution().optimizedPlan().toString()) for n in (2, 4, 8)]
+    assert length[2] - length[1] < 2.5 * (length[1] - length[0])
+    assert mix(8).agg({"__copies": "sum"}).first()[0] == mix(0).agg({"__copies": "sum"}).first()[0]
+
+
+def test_mixing_searches_are_short(spark):
+    """Shift and fills against a plain search over every document; two jobs for each of them."""
+    rng = random.Random(8)
+    rows = [(i, f"0{'abc'[i % 3]}", rng.choice([0, 1, 30, 400])) for i in range(300)]
+    table = spark.createDataFrame(rows, "__id long, __key string, __size long").repartition(3)
+    mix = mixing.fit_mix(table)
+    out = mix.join(table).select("__id", "__key", "__size", "__target", mixing._level().alias("level"), mixing._draw(2).alias("draw")).collect()
+    copies = {r["__id"]: r["__copies"] for r in mix.apply(table).collect()}
+    taken = lambda rows, shift: sum(r["__size"] * max(0, min(3, r["level"] + shift >> 40)) for r in rows)
+    for k, p in mix.params.items():
+        own = [r for r in out if r["__key"] == k]
+        if p["lam"] < math.inf:
+            assert taken(own, p["shift"]) <= p["target"] < taken(own, p["shift"] + (1 << 25))
+            if p.get("gap0"):
+                assert p["gap0"] == p["target"] - taken(own, p["shift"])
+                fits = [r for r in own if 0 < r["__size"] <= p["gap0"] and r["level"] + p["shift"] >> 40 < 3]
+                added = lambda part: sum(r["__size"] for r in fits if r["draw"] < part)  # noqa: B023, E731
+                assert added(p["part0"]) <= p["gap0"] and (added(p["part0"] + (1 << 24)) > p["gap0"] or p["part0"] >= 1 << 40)
+        assert sum(r["__size"] * copies[r["__id"]] for r in own) <= p["target"] + 1e-6
+    assert mix.jobs <= 12 + 2 + 2 * mix.rounds
+
+
 def test_mixing_keeps_columns_of_any_name(spark):
     rows = [(i, "a b c", "s", "mine", i) for i in range(20)]
     out = mixing.mix_rows(spark.createDataFrame(rows, "doc_id long, text string, source string, __size string, __copies int"))
